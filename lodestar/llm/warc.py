@@ -1,8 +1,8 @@
 """WARC archives with a Zstandard dictionary, written and read back.
 
 An archive is a skippable frame that holds the dictionary, then one Zstandard frame for each record.
-The dictionary is built once, from the first ``HEAD`` bytes of at most ``SAMPLE`` payloads chosen by
-a hash of their ids. Records with equal payloads are told by SHA-1: the one with the least page_id
+The dictionary is built once, from the first ``HEAD`` characters of at most ``2 * SAMPLE`` payloads,
+whose ids are chosen by a hash. Records with equal payloads are told by SHA-1: the one with the least page_id
 is a response, the others revisit it. Tasks write their archives to the shared folder under names of
 their own and report them in a manifest table; an attempt that is lost never reaches the manifest.
 
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SLICE_ROWS, materialize, shared_dir
+from lodestar.llm.common import SLICE_ROWS, hashed_sample, materialize, shared_dir
 
 SKIPPABLE = 0x184D2A5D
 SAMPLE, HEAD, DICTIONARY = 500, 16_384, 65_536
@@ -117,7 +117,8 @@ def write_archives(pages: DataFrame, uri: str | None = None, date: str = DATE) -
     files, path = store(uri)
     files.create_dir(path, recursive=True)
     pages = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    some = pages.select(F.xxhash64("page_id").alias("h"), "page_id", F.substring("html", 1, HEAD).alias("html")).orderBy("h", "page_id").limit(SAMPLE)
+    ids = hashed_sample(pages.select("page_id").filter("page_id is not null"), "page_id", SAMPLE).distinct()
+    some = pages.join(F.broadcast(ids), "page_id", "left_semi").select(F.substring("html", 1, HEAD).alias("html")).limit(2 * SAMPLE)  # ids may repeat
     dictionary = build_dictionary([r["html"].encode() for r in some.collect()])
     pages = pages.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
     first = pages.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
