@@ -7,46 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import decontaminate, language, packing, pii, quality, simhash, token_counts, toxicity, warc
-from lodestar.llm.common import read
+from lodestar.llm.common import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    out = decontaminate.decontaminate(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.classify(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(read(spark, sf_dir, "pages"))
+    return warc.round_trip(spread(read(spark, sf_dir, "pages")))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(read(spark, sf_dir, "documents")).drop("scores")
+    return pii.find(documents(spark, sf_dir)).drop("scores")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.judge(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.held_out_languages(read(spark, sf_dir, "documents"))
+    return language.held_out_languages(documents(spark, sf_dir))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
+    return token_counts.count_tokens(documents(spark, sf_dir))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"))
+    return packing.pack(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:

@@ -1,9 +1,10 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Fitting, on a bounded sample of labelled rows (``SAMPLE`` of each label, chosen by a hash of
-doc_id): document counts of tokens and of their prefixes give log-odds under an informative
-Dirichlet prior; those significantly toxic (z of at least ``Z``) form a lexicon of at most
-``LEXICON`` entries. A token scores as its most significant entry, any other token costs ``GAP``.
+doc_id): the documents that hold each token or prefix give its log-odds among all such incidences,
+under an informative Dirichlet prior. Entries whose lower confidence bound reaches ``BOUND`` form a
+lexicon of at most ``LEXICON``; the bound is their score. A token scores as its best entry, any
+other token costs ``GAP``.
 Scoring, over whole texts: a linear scan finds all maximal-scoring segments. Under the null model a
 segment of score s is expected K n exp(-lambda s) times among n tokens; lambda and K come from the
 sample's clean documents. The normalised scores of the best segment and of all significant ones are
@@ -34,10 +35,12 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit: labelled rows of each label, lexicon entries, entries of a worker's memo.
 SAMPLE, LEXICON, MEMO = 6_000, 20_000, 300_000
 PREFIXES = (4, 5, 6, 7)
-#: Significance and least toxic documents of an entry, prior documents, cost of another token.
-Z, LEAST, PRIOR, GAP = 4.0, 5, 10.0, 0.25
+#: Least bound and least toxic documents of an entry, prior documents, cost of another token.
+BOUND, LEAST, PRIOR, GAP = 1.0, 5, 10.0, 0.25
+#: Standard errors between a log-odds and its bound; the greatest score of an entry.
+ERRORS, MOST = 1.28, 10.0
 #: Share of the sample that calibrates, as a fold of the ids' hash.
-CALIBRATE = 3
+CALIBRATE = 5
 
 
 def features(word: str) -> list[str]:
@@ -47,15 +50,14 @@ def features(word: str) -> list[str]:
 class Memo(dict):
     """Word to its score, filled as words are met and emptied when it is full."""
 
-    def __init__(self, lexicon: dict[str, tuple[float, float]]):
+    def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
         if len(self) >= MEMO:
             self.clear()
-        found = [self.lexicon[x] for x in features(word) if x in self.lexicon]
-        self[word] = value = max(found)[1] if found else 0.0  # the greatest z wins
+        self[word] = value = max((self.lexicon[x] for x in features(word) if x in self.lexicon), default=0.0)
         return value
 
 
@@ -105,7 +107,10 @@ def evidence(n: int, found: list[tuple[int, int, float]], lam: float, log_k: flo
 
 
 def _counts(df: DataFrame, only: dict | None) -> DataFrame:
-    """(token, n): documents that hold each feature, summed by slices before the shuffle."""
+    """(token, n): documents that hold each feature, summed by slices before the shuffle.
+
+    The empty token counts the incidences of all features, whatever ``only`` keeps.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -114,6 +119,7 @@ def _counts(df: DataFrame, only: dict | None) -> DataFrame:
                 for text in whole.slice(at, SLICE_ROWS).column(0).to_pylist():
                     got = {x for w in set(WORD.findall((text or "").lower())) for x in features(w)}
                     c.update(got if only is None else got & only.keys())
+                    c[""] += len(got)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
 
     return df.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -152,31 +158,34 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, sampl
         return empty
     learn = {k: v.filter("part > 0") for k, v in parts.items()}
     n = {k: v.count() for k, v in learn.items()}
-    toxic = _counts(learn[1], None).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "token").limit(10 * LEXICON)
+    toxic = _counts(learn[1], None).filter((F.col("n") >= LEAST) | (F.col("token") == "")).orderBy(F.desc("n"), "token").limit(10 * LEXICON)
     toxic = dict(map(tuple, toxic.collect()))
     clean = dict(map(tuple, _counts(learn[0], toxic).collect()))  # no more tokens than toxic has
+    total = {1: toxic.pop("", 0), 0: clean.pop("", 0)}
     scored = []
     for token, y in toxic.items():
         m = clean.get(token, 0)
-        a = PRIOR * (y + m) / max(n[0] + n[1], 1)
-        delta = math.log((y + a) / (n[1] + PRIOR - y - a + 1e-9)) - math.log((m + a) / (n[0] + PRIOR - m - a + 1e-9))
-        z = delta / math.sqrt(1 / (y + a) + 1 / (m + a))
-        if z >= Z and delta > 1:
-            scored.append((z, min(delta, 12.0), token))
-    lexicon = {t: (z, d) for z, d, t in sorted(scored, reverse=True)[:LEXICON]}
+        a = max(0.5, PRIOR * (y + m) / max(n[0] + n[1], 1))
+        delta = math.log((y + a) / max(total[1] - y + 1, 1)) - math.log((m + a) / max(total[0] - m + 1, 1))
+        bound = delta - ERRORS * math.sqrt(1 / (y + a) + 1 / (m + a))
+        if bound >= BOUND:
+            scored.append((min(bound, MOST), token))
+    lexicon = {t: b for b, t in sorted(scored, reverse=True)[:LEXICON]}
 
     def make():
         memo = Memo(lexicon)
 
         def run(texts: list) -> list:
             got = [scan(x, memo) for x in texts]
-            return [[n for n, _ in got], [[s for _, _, s in f] for _, f in got]]
+            hits = [[s for s in map(memo.__getitem__, WORD.findall((x or "").lower())) if s] for x in texts]
+            return [[n for n, _ in got], [[s for _, _, s in f] for _, f in got], hits]
 
         return run
 
-    fields = [T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType()))]
-    got = {k: [(r["n"], [(0, 0, s) for s in r["s"]]) for r in map_texts(v.filter("part = 0"), ["doc_id"], "text", make, fields).collect()] for k, v in parts.items()}
-    lam = _lambda([s for _, f in got[0] for _, _, s in f], sum(n for n, _ in got[0]))
+    fields = [T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("hits", T.ArrayType(T.DoubleType()))]
+    rows = {k: map_texts(v.filter("part = 0"), ["doc_id"], "text", make, fields).limit(2 * sample).collect() for k, v in parts.items()}  # ids may repeat
+    got = {k: [(r["n"], [(0, 0, s) for s in r["s"]]) for r in v] for k, v in rows.items()}
+    lam = _lambda([s for r in rows[0] for s in r["hits"]], sum(n for n, _ in got[0]))
     tops = [lam * max(s for _, _, s in f) - math.log(max(n, 1)) for n, f in got[0] if f]
     # without segments the null model saw less than one in all clean tokens
     log_k = float(np.mean(tops)) - 0.5772 if len(tops) > 20 else -math.log(max(sum(n for n, _ in got[0]), 1)) + lam * 5
