@@ -47,6 +47,19 @@ def _fingerprints(df: DataFrame, k: int, window: int) -> DataFrame:
     return df.withColumn("least", F.transform(_steps(F.size("kg") - (span - 1)), lambda i: F.least(*[F.col("kg")[i + j] for j in range(span)])))
 
 
+def _selected(window: int, span: int) -> Column:
+    """The kept k-grams of a document by the windows they are least of: (fp, first, near).
+
+    One entry stands where the least hash changes and serves the windows first .. first + 2 * span - 1,
+    as a hash is least of at most span windows in a row unless it occurs again within them. Where it
+    does, every span-th window gets an entry too. near holds the word hashes of all those windows.
+    """
+    m, i0 = F.col("least"), lambda i: F.greatest(i - 1, F.lit(0))
+    again = lambda i: (i % span == 0) & (m[F.greatest(i - span, F.lit(0))] == m[i])
+    kept = F.filter(_steps(F.size("least")), lambda i: (i == 0) | (m[i0(i)] != m[i]) | again(i))
+    return F.transform(kept, lambda i: F.struct(m[i].alias("fp"), i.alias("first"), F.slice("wh", i + 1, window + 2 * span - 1).alias("near")))
+
+
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
     """(win, items): each distinct window as word hashes, with the ids of the items that hold it."""
     rows = items.select(F.col("item_id").alias("item"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("wh")).filter(F.size("wh") > 0)
@@ -67,14 +80,11 @@ def hits(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 10) -> Dat
     if lengths.get(window):
         own = _fingerprints(windows.filter(F.size("win") == window).withColumnRenamed("win", "wh"), k, window)
         prints = materialize(own.select(F.explode("least").alias("fp")).distinct(), "prints")
-        back = window - k
-        kept = _fingerprints(docs, k, window)
-        picked = F.filter(_steps(F.size("kg")), lambda i: F.exists(F.slice("least", F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back)) + 1), lambda m: m == F.col("kg")[i]))
-        around = F.transform(picked, lambda i: F.struct(F.col("kg")[i].alias("fp"), F.greatest(i - back, F.lit(0)).alias("first"), i.alias("at"), F.slice("wh", F.greatest(i - back, F.lit(0)) + 1, window + back).alias("near")))
-        near = kept.select("doc_id", "text_key", F.explode(around).alias("x")).select("doc_id", "text_key", "x.*")
+        span = window - k + 1
+        near = _fingerprints(docs, k, window).select("doc_id", "text_key", F.explode(_selected(window, span)).alias("x")).select("doc_id", "text_key", "x.*")
         near = near.join(hinted(prints, prints.count(), MAX_FINGERPRINTS), "fp", "left_semi")
-        near = near.select("doc_id", "text_key", "first", "near", F.explode(F.sequence(F.lit(0), F.col("at") - F.col("first"))).alias("j"))
-        found.append(near.select("doc_id", "text_key", (F.col("first") + F.col("j")).alias("start"), F.slice("near", F.col("j") + 1, window).alias("win")).filter(F.size("win") == window))
+        near = near.select("doc_id", "text_key", "first", "near", F.explode(F.sequence(F.lit(0), F.size("near") - window)).alias("j"))
+        found.append(near.select("doc_id", "text_key", (F.col("first") + F.col("j")).alias("start"), F.slice("near", F.col("j") + 1, window).alias("win")))
     for n in sorted(x for x in lengths if x < window):
         grams = F.transform(_steps(F.size("wh") - (n - 1)), lambda i: F.struct(i.alias("start"), F.slice("wh", i + 1, n).alias("win")))  # noqa: B023
         found.append(docs.select("doc_id", "text_key", F.explode(grams).alias("x")).select("doc_id", "text_key", "x.*"))
