@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontaminate, language, packing, pii, quality, simhash, token_counts, toxicity, warc
+from lodestar.llm import decontaminate, language, lm_score, packing, pii, quality, simhash, token_counts, toxicity, warc
 from lodestar.llm.common import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir)).drop("scores")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.pseudo_likelihood(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_toxicity, op4_warc, op5_pii, op7_quality, op8_language, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_toxicity, op4_warc, op5_pii, op6_lm_score, op7_quality, op8_language, op9_token_counts, op10_packing)}
 
 
 #: op4: DuckDB has no base 32, so the digest's hex is turned five bits at a time.
