@@ -46,7 +46,7 @@ EDGE = IDS - 1
 SIDE, DIM, HIDDEN = 2, 16, 32
 ROUNDS, STRIDE, BATCH, RATE = 2, 16, 512, 0.05
 #: Entries of a partial count and of a worker's memo; weights in a block; positions scored at once.
-COUNTS, MEMO, BLOCK, POSITIONS = 400_000, 300_000, 4096, 8192
+COUNTS, MEMO, BLOCK, POSITIONS = 400_000, 300_000, 4096, 2048
 
 
 def tokens(text: str | None) -> list[str]:
@@ -133,7 +133,7 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def make():
         memo = Encoder(shared.value)
-        return lambda texts: [[np.array([memo[t] for t in tokens(x)], dtype="<u2").tobytes() for x in texts]]
+        return lambda texts: [[np.array(list(map(memo.__getitem__, tokens(x))), dtype="<u2").tobytes() for x in texts]]
 
     return map_texts(docs, ["doc_id"], "text", make, [T.StructField("ids", T.BinaryType())])
 
@@ -153,11 +153,32 @@ def start(vocab: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
     }
 
 
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of several texts in one array, edges around each; the place of each text's first id."""
+    size = np.array([len(x) for x in texts], dtype=np.int64)
+    first = SIDE + np.concatenate([[0], np.cumsum(size[:-1] + SIDE)]) if len(size) else size
+    out = np.full(int(size.sum()) + SIDE * (len(size) + 1), EDGE, dtype=np.int64)
+    for x, at in zip(texts, first.tolist(), strict=True):
+        out[at : at + len(x)] = x
+    return out, first
+
+
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ids on both sides of the positions ``at``, edges where the text ends."""
-    padded = np.concatenate([np.full(SIDE, EDGE), ids, np.full(SIDE, EDGE)])
-    offsets = [o for o in range(2 * SIDE + 1) if o != SIDE]
-    return np.stack([padded[at + o] for o in offsets], axis=1)
+    """Ids on both sides of the places ``at`` of a joined array."""
+    return np.stack([ids[at + o] for o in range(-SIDE, SIDE + 1) if o], axis=1)
+
+
+def log_sum(logits: np.ndarray) -> np.ndarray:
+    """Row-wise log of the sum of exponentials; spends ``logits``. Only extreme rows are shifted."""
+    if logits.size and float(logits.max()) > 60:
+        top = logits.max(axis=1)
+        return top + log_sum(logits - top[:, None])
+    if logits.size and float(logits.min()) < -60:  # a whole row may vanish
+        top = logits.max(axis=1)
+        if float(top.min()) < -60:
+            return top + log_sum(logits - top[:, None])
+    np.exp(logits, out=logits)
+    return np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype))
 
 
 def step(p: dict[str, np.ndarray], state: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> float:
@@ -210,26 +231,27 @@ def train_round(encoded: DataFrame, p: dict[str, np.ndarray], vocab: Vocabulary,
         p = {k: v.copy() for k, v in p.items()}
         state = {k: np.zeros_like(v) for k, v in p.items()}
         task = TaskContext.get().partitionId()
-        xs, ys, held, seen = [], [], 0, 0
+        texts, held, seen = [], 0, 0
+
+        def learn(texts: list[np.ndarray], seen: int) -> int:
+            ids, first = joined(texts)
+            at = [np.arange(a + min(phase, len(x) - 1), a + len(x), stride) for a, x in zip(first.tolist(), texts, strict=True) if len(x)]
+            if not at:
+                return 0
+            at = np.random.default_rng([task, seen]).permutation(np.concatenate(at))
+            for i in range(0, len(at), BATCH):
+                some = at[i : i + BATCH]
+                step(p, state, contexts(ids, some), cls[ids[some]])
+            return len(at)
+
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                ids = np.frombuffer(raw, dtype="<u2").astype(np.int64)
-                at = np.arange(min(phase, max(len(ids) - 1, 0)), len(ids), stride)
-                xs.append(contexts(ids, at))
-                ys.append(cls[ids[at]])
-                held += len(at)
+                texts.append(np.frombuffer(raw, dtype="<u2"))
+                held += -(-len(texts[-1]) // stride)
                 if held >= 16 * BATCH:  # some documents at once, mixed
-                    x, y = np.concatenate(xs), np.concatenate(ys)
-                    order = np.random.default_rng([task, seen]).permutation(len(y))
-                    for i in range(0, len(y), BATCH):
-                        step(p, state, x[order[i : i + BATCH]], y[order[i : i + BATCH]])
-                    seen += held
-                    xs, ys, held = [], [], 0
-        if held:
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            for i in range(0, len(y), BATCH):
-                step(p, state, x[i : i + BATCH], y[i : i + BATCH])
-            seen += held
+                    seen += learn(texts, seen)
+                    texts, held = [], 0
+        seen += learn(texts, seen)
         if seen:
             flat = _flat(p).astype("<f4")
             blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
@@ -258,18 +280,24 @@ class Scorer:
         self.tables = [p["e"] @ p["w"][i * DIM : (i + 1) * DIM] for i in range(2 * SIDE)]
         self.p, self.cls, self.share = p, vocab_cls, share
 
-    def log_probabilities(self, ids: np.ndarray) -> np.ndarray:
-        ids = ids.astype(np.int64)
-        out = np.empty(len(ids), dtype=np.float32)
-        for a in range(0, len(ids), POSITIONS):
-            at = np.arange(a, min(a + POSITIONS, len(ids)))
-            x = contexts(ids, at)
-            hid = self.p["b"] + sum(t[x[:, i]] for i, t in enumerate(self.tables))
-            logits = np.maximum(hid, 0) @ self.p["u"] + self.p["c"]
-            logits -= logits.max(axis=1, keepdims=True)
-            y = self.cls[ids[at]]
-            out[at] = logits[np.arange(len(at)), y] - np.log(np.exp(logits).sum(axis=1)) + self.share[ids[at]]
-        return out
+    def log_probabilities(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """For each text's ids, their log-probabilities."""
+        ids, first = joined(texts)
+        size = [len(x) for x in texts]
+        place = np.concatenate([np.arange(a, a + n) for a, n in zip(first.tolist(), size, strict=True)]) if texts else first
+        out = np.empty(len(place), dtype=np.float32)
+        for a in range(0, len(place), POSITIONS):
+            at = place[a : a + POSITIONS]
+            x, y = contexts(ids, at), ids[at]
+            hid = self.tables[0][x[:, 0]] + self.p["b"]
+            for i in range(1, 2 * SIDE):
+                hid += self.tables[i][x[:, i]]
+            np.maximum(hid, 0, out=hid)
+            logits = hid @ self.p["u"]
+            logits += self.p["c"]
+            own = logits[np.arange(len(at)), self.cls[y]]
+            out[a : a + POSITIONS] = own - log_sum(logits) + self.share[y]
+        return np.split(out, np.cumsum(size)[:-1]) if texts else []
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[Vocabulary, dict[str, np.ndarray], DataFrame]:
@@ -290,14 +318,14 @@ def score(encoded: DataFrame, vocab: Vocabulary, p: dict[str, np.ndarray]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
-            n, total = [], []
-            for raw in batch.column(1).to_pylist():
-                ids = np.frombuffer(raw, dtype="<u2")
-                n.append(len(ids))
-                total.append(float(scorer.log_probabilities(ids).sum(dtype=np.float64)) if len(ids) else 0.0)
-            mean = [t / max(k, 1) for t, k in zip(total, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64()), pa.array([math.exp(min(-m, 700.0)) for m in mean], pa.float64())], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                texts = [np.frombuffer(raw, dtype="<u2") for raw in batch.column(1).to_pylist()]
+                n = [len(x) for x in texts]
+                total = [float(x.sum(dtype=np.float64)) if len(x) else 0.0 for x in scorer.log_probabilities(texts)]
+                mean = [t / max(k, 1) for t, k in zip(total, n, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64()), pa.array([math.exp(min(-m, 700.0)) for m in mean], pa.float64())], names=schema.names)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
 

@@ -21,8 +21,12 @@ def toy(n=3000):
 
 def test_probabilities_match_plain_arithmetic():
     vocab, p, ids = toy(9000)  # more than are scored at once
-    got = lm_score.Scorer(p, vocab.cls, vocab.share).log_probabilities(ids)
-    for i in (0, 1, 2, 500, 8191, 8192, 8998, 8999):
+    scorer = lm_score.Scorer(p, vocab.cls, vocab.share)
+    got = scorer.log_probabilities([ids[:7], ids, ids[:0]])[1]
+    assert np.allclose(got, scorer.log_probabilities([ids])[0], atol=1e-4) and scorer.log_probabilities([]) == []
+    far = np.array([[500.0, 1.0], [-500.0, -501.0], [0.0, -90.0]], dtype=np.float32)
+    assert np.allclose(lm_score.log_sum(far), [500.0, -500 + math.log(1 + math.exp(-1)), 0.0])
+    for i in (0, 1, 2, 500, 2047, 2048, 8998, 8999):
         side = [ids[j] if 0 <= j < len(ids) else lm_score.EDGE for j in (i - 2, i - 1, i + 1, i + 2)]
         hid = np.maximum(np.concatenate([p["e"][s] for s in side]) @ p["w"] + p["b"], 0)
         out = hid @ p["u"] + p["c"]
@@ -33,7 +37,7 @@ def test_probabilities_match_plain_arithmetic():
 def test_gradient_steps_match_finite_differences(monkeypatch):
     vocab, p, ids = toy()
     p = {k: v.astype(np.float64) for k, v in p.items()}
-    x, y = lm_score.contexts(ids, np.arange(64)), vocab.cls[ids[:64]]
+    x, y = lm_score.contexts(ids, np.arange(2, 66)), vocab.cls[ids[2:66]]
     loss = lambda q: lm_score.step({k: v.copy() for k, v in q.items()}, {k: np.zeros_like(v) for k, v in q.items()}, x, y)
     state = {k: np.zeros_like(v) for k, v in p.items()}
     after = {k: v.copy() for k, v in p.items()}
