@@ -20,11 +20,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Tables up to this size on disk are dealt over all cores before Python or array work.
+SMALL = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Dealt over all cores if it comes in fewer partitions: a small table in one file would else be
-    one task. Larger inputs stay as they are, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table of at most SMALL bytes is often one file and one task: deal it over the cores.
+
+    Larger inputs stay as they are, without a shuffle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -38,6 +38,7 @@ def store(uri: str):
     """(file system, path) of a folder that executors share."""
     from pyarrow import fs
 
+    uri = uri.replace("s3a://", "s3://", 1)
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
