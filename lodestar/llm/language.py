@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from lodestar.llm.common import SLICE_ROWS, fold, hashed_sample, map_texts
 
 SAMPLE, DIM, SEED = 8_000, 1024, 2_654_435_769
-#: Characters that are profiled at once, n-gram vectors that a worker keeps.
-CHARS, KEPT = 2_000_000, 16_384
+#: N-grams that are bundled at once, characters of a text in a slice, n-gram vectors a worker keeps.
+CHARS, SLICE_CHARS, KEPT = 2_000_000, 1_000_000, 16_384
 
 
 def letter_bits(codes: np.ndarray, dim: int, seed: int) -> np.ndarray:
@@ -68,41 +68,45 @@ class Profiler:
             rows[new] = at
         return self.table[rows].astype(np.float32)
 
-    def _grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Key and text number of every n-gram; a text without a letter has none."""
-        codes, owner = [], []
-        for i, text in enumerate(texts):
-            c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            c = np.where(self.letter[c], c, 0) if len(c) else c
-            if not c.any():
-                continue
-            c = np.concatenate([[0], c, [0]]).astype(np.int64)
-            c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
-            codes.append((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])
-            owner.append(np.full(len(c) - 2, i, dtype=np.int64))
-        none = np.empty(0, dtype=np.int64)
-        return (np.concatenate(codes), np.concatenate(owner)) if codes else (none, none)
+    def _grams(self, text: str) -> Iterator[np.ndarray]:
+        """Keys of a text's n-grams, a slice of the text at a time; a text without a letter has none."""
+        last = np.zeros(1, dtype=np.int64)  # the text begins and ends with a blank
+        for at in range(0, len(text), SLICE_CHARS):
+            c = np.frombuffer(text[at : at + SLICE_CHARS].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            c = np.concatenate([last[-1:], np.where(self.letter[c], c, 0), np.zeros(int(at + SLICE_CHARS >= len(text)), dtype=np.int64)]).astype(np.int64)
+            c = np.concatenate([last, c[1:][(c[1:] != 0) | (c[:-1] != 0)]])
+            if len(c) > 2:
+                yield (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+            last = c[-2:]
 
     def profile(self, texts: list[str | None]) -> np.ndarray:
         """(len(texts), dim) bundled vectors; zero where there is no letter."""
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars < CHARS):
-                chars += len(texts[end] or "")
-                end += 1
-            keys, owner = self._grams([x or "" for x in texts[at:end]])
-            if len(keys):
-                distinct, place = np.unique(keys, return_inverse=True)
-                for first in range(0, len(distinct), KEPT):  # many scripts at once come in parts
-                    some = (place >= first) & (place < first + KEPT)
-                    part = distinct[first : first + KEPT]
-                    counts = np.bincount(owner[some] * len(part) + place[some] - first, minlength=(end - at) * len(part))
-                    out[at:end] += counts.reshape(end - at, len(part)).astype(np.float32) @ self.vectors(part)
-            at = end
+        keys: list[np.ndarray] = []
+        owner: list[int] = []
+        held = 0
+        for i, text in enumerate(texts):
+            for some in self._grams(text or ""):
+                keys.append(some)
+                owner.append(i)
+                held += len(some)
+                if held >= CHARS:
+                    self._bundle(out, keys, owner)
+                    keys, owner, held = [], [], 0
+        if keys:
+            self._bundle(out, keys, owner)
         return out
 
+    def _bundle(self, out: np.ndarray, keys: list[np.ndarray], owner: list[int]) -> None:
+        low, rows = owner[0], owner[-1] - owner[0] + 1
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        row = np.repeat(np.array(owner, dtype=np.int64) - low, [len(k) for k in keys])
+        for first in range(0, len(distinct), KEPT):  # many scripts at once come in parts
+            some = (place >= first) & (place < first + KEPT)
+            part = distinct[first : first + KEPT]
+            counts = np.bincount(row[some] * len(part) + place[some] - first, minlength=rows * len(part))
+            out[low : low + rows] += counts.reshape(rows, len(part)).astype(np.float32) @ self.vectors(part)
+
 
 _PROFILER: dict = {}
 

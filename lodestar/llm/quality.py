@@ -25,10 +25,43 @@ from lodestar.llm.common import hashed_sample, map_texts
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 _NO_SYMBOL = str.maketrans("", "", SYMBOLS)
+#: Words above which repeats are found in flat arrays, which hold a long text in less memory.
+LONG = 50_000
 SAMPLE, RULES, CONDITIONS, PRECISION = 12_000, 12, 3, 0.9
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks")
 
 
+def repeated_words(words: list[str]) -> int:
+    """Words inside windows of five that occur more than once."""
+    windows = list(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))
+    if len(set(windows)) == len(windows):
+        return 0
+    often = {w for w, c in Counter(windows).items() if c > 1}
+    repeat = end = 0
+    for i, w in enumerate(windows):
+        if w in often:
+            repeat += i + 5 - max(i, end)
+            end = i + 5
+    return repeat
+
+
+def repeated_words_long(words: list[str]) -> int:
+    """The same in flat arrays: windows are numbered by pairs of numbered parts, without hashing."""
+    ids: dict[str, int] = {}
+    one = np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype=np.int64, count=len(words))
+
+    def numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * len(words) + b, return_inverse=True)[1]
+
+    two = numbered(one[:-1], one[1:])
+    four = numbered(two[:-2], two[2:])
+    five = numbered(four[:-1], one[4:])
+    often = np.flatnonzero(np.bincount(five)[five] > 1)
+    if not len(often):
+        return 0
+    return int(np.minimum(np.diff(often), 5).sum()) + 5
+
+
 def statistics(text: str | None) -> tuple[int, ...]:
     """The COUNTS of a whole text."""
     text = text or ""
@@ -42,16 +75,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
         elif WORD.search(line):
             lines += 1
             seen.add(line)
-    repeat = 0
-    if n > 5:
-        windows = list(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))
-        if len(set(windows)) < len(windows):
-            often = {w for w, c in Counter(windows).items() if c > 1}
-            end = 0
-            for i, w in enumerate(windows):
-                if w in often:
-                    repeat += i + 5 - max(i, end)
-                    end = i + 5
+    repeat = repeated_words(words) if n <= LONG else repeated_words_long(words)
     chars = sum(map(len, words))
     symbols = len(text) - len(text.translate(_NO_SYMBOL)) if any(c in text for c in SYMBOLS) else 0
     upper = sum(map(str.isupper, words))

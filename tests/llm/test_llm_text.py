@@ -203,6 +203,15 @@ def test_quality_counts(spark, sf):
         assert quality.statistics(t)[:5] == naive_counts(t), t
 
 
+def test_repeated_words_in_flat_arrays():
+    rng = random.Random(7)
+    for _ in range(400):
+        words = [rng.choice("abc") for _ in range(rng.randint(5, 60))]
+        assert quality.repeated_words_long(words) == quality.repeated_words(words)
+    words = "the quick brown fox jumps".split() * 20_000
+    assert quality.statistics(" ".join(words))[4] == len(words) > quality.LONG
+
+
 def test_quality_rules(spark):
     sf = "/root/testdata/sf0.1"
     labels = read(spark, sf, "labels")
@@ -244,6 +253,10 @@ def test_language_edge_cases(spark, monkeypatch):
     want = language.Profiler(256).profile(texts)
     monkeypatch.setattr(language, "KEPT", 5)
     assert np.array_equal(language.Profiler(256).profile(texts), want)
+    monkeypatch.setattr(language, "SLICE_CHARS", 3)
+    monkeypatch.setattr(language, "CHARS", 4)
+    assert np.array_equal(language.Profiler(256).profile(texts), want)
+    assert not language.Profiler(256).profile(["", "1 2 3 4 5 6", None]).any()
 
 
 def test_profile_binds_and_bundles():
