@@ -10,7 +10,8 @@ What the model knows comes from all documents. Token counts are summed over the
 beginning, and split their class's rest evenly among its distinct tokens. The network trains in
 numpy where the documents lie: in each of ``ROUNDS`` rounds every task starts from the shared weights,
 takes each document's every ``STRIDE``-th token as an example, and hands its weights on; their
-average, by numbers of examples, starts the next round. Weights are summed in blocks, streamed in a
+average, by numbers of examples, starts the next round. The rounds begin at different places, and as
+``STRIDE`` is ``ROUNDS``, they make an example of every token of the corpus, once. Weights are summed in blocks, streamed in a
 fixed order, so the sum takes bounded memory whatever the number of tasks.
 
 Defined results: null, empty and token-less texts have no tokens, log-likelihood 0, mean 0 and
@@ -44,7 +45,7 @@ CLASSES = ALONE + ENDINGS
 IDS = WORDS + ENDINGS * BEGINNINGS + 1
 EDGE = IDS - 1
 SIDE, DIM, HIDDEN = 2, 16, 32
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 512, 0.05
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 512, 0.05
 #: Entries of a partial count and of a worker's memo; weights in a block; positions scored at once.
 COUNTS, MEMO, BLOCK, POSITIONS = 400_000, 300_000, 4096, 2048
 
@@ -184,28 +185,36 @@ def log_sum(logits: np.ndarray) -> np.ndarray:
 def step(p: dict[str, np.ndarray], state: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> float:
     """One Adagrad step on a batch; the mean loss before it."""
     n = len(y)
-    emb = p["e"][x].reshape(n, -1)
-    pre = emb @ p["w"] + p["b"]
-    hid = np.maximum(pre, 0)
-    out = hid @ p["u"] + p["c"]
-    out -= out.max(axis=1, keepdims=True)
-    prob = np.exp(out)
-    total = prob.sum(axis=1, keepdims=True)
-    loss = float((np.log(total[:, 0]) - out[np.arange(n), y]).mean())
-    prob /= total
-    prob[np.arange(n), y] -= 1
-    prob /= n
-    back = (prob @ p["u"].T) * (pre > 0)
+    emb = p["e"].take(x, axis=0).reshape(n, -1)
+    hid = emb @ p["w"]
+    hid += p["b"]
+    np.maximum(hid, 0, out=hid)
+    out = hid @ p["u"]
+    out += p["c"]
+    if float(out.max()) > 60 or float(out.min()) < -60:  # only extreme batches are shifted
+        out -= out.max(axis=1, keepdims=True)
+    own = out[np.arange(n), y]
+    prob = np.exp(out, out=out)
+    total = prob @ np.ones(prob.shape[1], dtype=prob.dtype)
+    loss = float((np.log(total) - own).mean())
+    prob *= (1 / (n * total))[:, None]
+    prob[np.arange(n), y] -= 1 / n
+    back = prob @ p["u"].T
+    back *= hid > 0
     deep = (back @ p["w"].T).reshape(-1, DIM)
-    grads = {"u": hid.T @ prob, "c": prob.sum(axis=0), "w": emb.T @ back, "b": back.sum(axis=0)}
+    every = np.ones(n, dtype=prob.dtype)
+    grads = {"u": hid.T @ prob, "c": every @ prob, "w": emb.T @ back, "b": every @ back}
     for k, g in grads.items():
         state[k] += g * g
         p[k] -= RATE * g / np.sqrt(state[k] + 1e-8)
-    rows, place = np.unique(x.ravel(), return_inverse=True)
-    g = np.zeros((len(rows), DIM), dtype=np.float32)
-    np.add.at(g, place.ravel(), deep)
-    state["e"][rows] += g * g
-    p["e"][rows] -= RATE * g / np.sqrt(state["e"][rows] + 1e-8)
+    flat = x.ravel().astype(np.uint16)  # which sorts by radix
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    rows, g = flat[first].astype(np.int64), np.add.reduceat(deep.take(order, axis=0), first, axis=0)
+    square = state["e"].take(rows, axis=0) + g * g
+    state["e"][rows] = square
+    p["e"][rows] -= RATE * g / np.sqrt(square + 1e-8)
     return loss
 
 
@@ -235,7 +244,7 @@ def train_round(encoded: DataFrame, p: dict[str, np.ndarray], vocab: Vocabulary,
 
         def learn(texts: list[np.ndarray], seen: int) -> int:
             ids, first = joined(texts)
-            at = [np.arange(a + min(phase, len(x) - 1), a + len(x), stride) for a, x in zip(first.tolist(), texts, strict=True) if len(x)]
+            at = [np.arange(a + phase, a + len(x), stride) for a, x in zip(first.tolist(), texts, strict=True) if len(x)]
             if not at:
                 return 0
             at = np.random.default_rng([task, seen]).permutation(np.concatenate(at))

@@ -110,3 +110,23 @@ def test_runs_repeat_exactly(spark, sf):
     docs = read(spark, sf, "documents").repartition(3)
     a, b = (sorted(map(tuple, lm_score.pseudo_likelihood(docs).collect())) for _ in range(2))
     assert a == b
+
+
+def test_every_token_is_a_target_once(spark, tmp_path, monkeypatch):
+    """Places are told apart by their ids: text i has the ids 1000 i + 1, 1000 i + 2, ..."""
+    step, seen = lm_score.step, tmp_path / "seen"
+
+    def noted(p, state, x, y):
+        with open(seen, "a") as f:
+            f.write("".join(f"{i}\n" for i in y.tolist()))
+        return step(p, state, x, y % lm_score.CLASSES)
+
+    monkeypatch.setattr(lm_score, "step", noted)
+    vocab = lm_score.Vocabulary([("a", 1)], {})
+    vocab.cls = np.arange(lm_score.IDS)
+    texts = [np.arange(1, n + 1) + 1000 * i for i, n in enumerate((1, 2, 3, 16, 17, 100, 999))]
+    encoded = spark.createDataFrame([(x.astype("<u2").tobytes(),) for x in texts], "ids binary").repartition(2)
+    p = lm_score.start(vocab)
+    for r in range(lm_score.ROUNDS):
+        p = lm_score.train_round(encoded, p, vocab, r)
+    assert sorted(map(int, seen.read_text().split())) == sorted(np.concatenate(texts).tolist())
