@@ -5,7 +5,9 @@ letters (any run of other characters is one blank) binds its letters' vectors, e
 place, by multiplication. A text bundles the vectors of its n-grams; a language's prototype bundles
 the normalised vectors of its documents. The prediction is the prototype of greatest cosine.
 
-Prototypes are fitted on at most ``SAMPLE`` labelled documents, chosen by a hash of doc_id.
+Prototypes are fitted on the labelled documents with a letter: on all of a language up to ``SAMPLE``
+distinct ids, on about ``SAMPLE`` chosen by a hash of doc_id beyond. Each language is sampled by itself,
+so that none is lost at any size.
 Defined results: texts that are null or without a letter are ``und`` with score 0, as are all texts
 if nothing was learned. Ties go to the language first in order. Null langs and ids teach nothing.
 """
@@ -16,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import SLICE_ROWS, fold, hashed_sample, map_texts
+from lodestar.llm.common import SLICE_ROWS, fold, map_texts
 
 SAMPLE, DIM, SEED = 8_000, 1024, 2_654_435_769
 #: N-grams that are bundled at once, characters of a text in a slice, n-gram vectors a worker keeps.
@@ -126,9 +129,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, train=None, sample: int = SAMPLE, dim: int = DIM, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit prototypes, from rows with a lang that ``train`` admits."""
-    rows = docs.select("doc_id", "lang").filter("lang is not null and doc_id is not null")
-    some = hashed_sample(rows if train is None else rows.filter(train), "doc_id", sample)
-    some = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most `sample` rows
+    rows = docs.select("doc_id", "text", "lang").filter("lang is not null and doc_id is not null").filter(F.col("text").rlike(r"\p{L}"))
+    rows = rows if train is None else rows.filter(train)
+    counts = rows.groupBy("lang").agg(F.countDistinct("doc_id").alias("n"))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    some = rows.join(F.broadcast(counts), "lang").filter((F.col("n") <= sample) | (h < (1 << 40) * sample / F.col("n")))  # a row per lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiler(dim, seed)
@@ -140,11 +145,20 @@ def fit(docs: DataFrame, train=None, sample: int = SAMPLE, dim: int = DIM, seed:
                 for lang, v in zip(part.column(1).to_pylist(), vectors, strict=True):
                     sums[lang] = sums.get(lang, 0) + v
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float32()))], names=["lang", "v"])
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([task] * len(sums), pa.int64()), pa.array([v.astype("<f4").tobytes() for v in sums.values()], pa.binary())], names=["lang", "task", "v"])
 
-    total: dict[str, np.ndarray] = {}
-    for r in some.select("text", "lang").mapInArrow(run, "lang string, v array<float>").collect():  # a vector per task and lang
-        total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["v"], dtype=np.float32)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sums[lang] = sums.get(lang, 0) + np.frombuffer(v, dtype="<f4").astype(np.float64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<f4").tobytes() for v in sums.values()], pa.binary())], names=["lang", "v"])
+
+    parts = some.select("text", "lang").mapInArrow(run, "lang string, task long, v binary")
+    sums = parts.repartition("lang").sortWithinPartitions("lang", "task").mapInArrow(add, "lang string, v binary")
+    total = {r["lang"]: np.frombuffer(r["v"], dtype="<f4") for r in sums.collect()}  # a vector per lang
     langs = sorted(k for k, v in total.items() if np.any(v))
     return langs, _unit(np.array([total[k] for k in langs], dtype=np.float32).reshape(len(langs), dim))
 

@@ -259,6 +259,13 @@ def test_language_edge_cases(spark, monkeypatch):
     assert not language.Profiler(256).profile(["", "1 2 3 4 5 6", None]).any()
 
 
+def test_rare_languages_are_learned(spark):
+    texts = [f"the house and the garden {i}" for i in range(400)] + ["1 2 3"] * 300 + ["das Haus und der Garten"] * 2
+    docs = docs_frame(spark, texts).withColumn("lang", F.when(F.col("doc_id") < 400, "en").otherwise("de"))
+    langs, prototypes = language.fit(docs, sample=5)
+    assert langs == ["de", "en"] and np.allclose(np.linalg.norm(prototypes, axis=1), 1)
+
+
 def test_profile_binds_and_bundles():
     p = language.Profiler(256)
     bits = {c: language.letter_bits(np.array([0 if c == " " else ord(c)]), 256, language.SEED)[0].astype(int) for c in " ab"}
