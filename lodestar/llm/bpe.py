@@ -1,8 +1,10 @@
 """Byte-level BPE through the public libraries, fast on ordinary text and safe on any.
 
-The ids are those that ``tokenizers`` gives for the vocabulary file. Ordinary pieces go through the
+The ids are those that ``tokenizers`` gives for the vocabulary file. Ordinary texts go through the
 rank table of the same vocabulary, which is built from that file; texts with added tokens or with
-very long runs go to the library itself, whose time stays near-linear there.
+very long runs go to the library itself, whose time stays near-linear there. Texts may be cut into
+pre-tokens here only if all their characters are ``SETTLED``: which code points are letters or numbers
+depends on the Unicode version that a library was built with.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ import regex
 LONG_RUN = 1000
 #: The split of byte-level BPE: fixed values.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Blocks whose kinds of characters are the same in all Unicode versions of these libraries.
+SETTLED = r"\x00-ԯ‐-⁤₠-₿　-〿ぁ-ゖァ-ヺ一-龥가-힣！-～\U0001F300-\U0001F64F"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -47,6 +51,7 @@ class Encoder:
         self.library.no_padding()
         self.ranks = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(PATTERN).findall
+        self.unsettled = regex.compile(f"[^{SETTLED}]").search
 
     def odd(self, text: str) -> bool:
         """Whether the text has an added token or a run too long for merging by rank."""
@@ -59,6 +64,12 @@ class Encoder:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
+    def pieces(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text; None if it must be encoded as a whole, by :meth:`ids`."""
+        if not text.isascii() and self.unsettled(text) or self.odd(text):
+            return None
+        return self.split(text)
+
     def piece(self, piece: str) -> int:
         """Number of ids of one pre-token."""
         return len(self.ranks._encode_single_piece(piece.encode()))

@@ -5,7 +5,10 @@ from a sample of ``SAMPLE`` documents, chosen by a hash of doc_id). Tier two is
 worker that fills with the pre-tokens the table misses. Both only save time: every count is that of
 the tokenizer, whatever the sample holds.
 
-Defined results: null is the empty text: 0 bytes, 0 tokens. Repeated rows each get a row.
+Defined results: null is the empty text: 0 bytes, 0 tokens. Very long texts are counted whole; those
+with runs of one kind beyond ``bpe.LONG_RUN`` go to the library, as do added tokens. Repeated rows each
+get a row; of rows that share an id, one is sampled. An empty table gives no rows. Columns beside doc_id
+and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,24 +43,28 @@ class Lengths(dict):
 
 
 def frequent(docs: DataFrame, path: str, sample: int = SAMPLE, size: int = TABLE) -> tuple[str, bytes]:
-    """The compact table: frequent pre-tokens joined by NUL, and their numbers of ids as bytes."""
+    """The compact table: frequent pre-tokens joined by NUL, and their numbers of ids as bytes.
+
+    One task counts the sample's texts, at most ``sample`` of them: no pre-token is shuffled.
+    """
     ids = hashed_sample(docs.select("doc_id").filter("doc_id is not null"), "doc_id", sample)
     some = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # at most `sample` ids
+    some = some.groupBy("doc_id").agg(F.min("text").alias("text")).select("text").repartition(1)  # ids may repeat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = encoder(path).split
+        e = encoder(path)
+        c: Counter = Counter()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
-                c: Counter = Counter()
                 for text in whole.slice(at, SLICE_ROWS).column(0).to_pylist():
-                    c.update(split(text or ""))
-                c = Counter({k: v for k, v in c.items() if v > 1 and len(k) < 64 and "\0" not in k})
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["piece", "n"])
+                    c.update(e.pieces(text or "") or ())
+                if len(c) > CACHE:
+                    c = Counter({k: v for k, v in c.items() if v > 1})
+        best = sorted((k for k, v in c.items() if v > 1 and len(k) < 64 and "\0" not in k), key=lambda k: (-c[k], k))[:size]
+        yield pa.RecordBatch.from_arrays([pa.array(["\0".join(best)]), pa.array([bytes(map(e.piece, best))])], names=["pieces", "lens"])
 
-    counts = some.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    pieces = [r["piece"] for r in counts.orderBy(F.desc("n"), "piece").limit(size).collect()]
-    piece = encoder(path).piece
-    return "\0".join(pieces), bytes(piece(x) for x in pieces)
+    rows = some.mapInArrow(run, "pieces string, lens binary").collect()  # one row
+    return (rows[0]["pieces"], bytes(rows[0]["lens"])) if rows else ("", b"")
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, sample: int = SAMPLE) -> DataFrame:
@@ -70,9 +77,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, sa
         lengths = _lengths(shared, path)
 
         def count(text: str) -> int:
-            if e.odd(text):
-                return len(e.library.encode(text, add_special_tokens=False).ids)
-            return sum(map(lengths.__getitem__, e.split(text)))
+            pieces = e.pieces(text)
+            return len(e.ids(text)) if pieces is None else sum(map(lengths.__getitem__, pieces))
 
         def run(texts: list) -> list:
             texts = [x or "" for x in texts]
