@@ -1,14 +1,19 @@
 """WARC archives with a Zstandard dictionary, written and read back.
 
 An archive is a skippable frame that holds the dictionary, then one Zstandard frame for each record.
-The dictionary is built once, from the first ``HEAD`` characters of at most ``2 * SAMPLE`` payloads,
-whose ids are chosen by a hash. Records with equal payloads are told by SHA-1: the one with the least page_id
-is a response, the others revisit it. Tasks write their archives to the shared folder under names of
-their own and report them in a manifest table; an attempt that is lost never reaches the manifest.
-
-Defined results: a null payload is empty. Rows that share the least page_id of a payload are all
-responses. A null page_id is never the least unless the payload has no other id, and then all its
-rows are responses. Tables without rows give no archive. Extra columns are ignored.
+The dictionary is built once, from records as they are archived: of at most ``2 * SAMPLE`` pages, whose
+ids are chosen by a hash, each gives its record, or ``CHUNKS`` evenly spread parts of it that make
+``PART`` bytes. Records with equal payloads are told by SHA-1: the one with the least page_id is a
+response, the others revisit it. The list of repeated payloads is broadcast if it is short; beyond
+that the pages are joined with it, those of very frequent payloads still by a broadcast. Tasks write
+their archives to the shared folder under names of their own and report them in a manifest table; an
+attempt that is lost never reaches the manifest.
+
+Defined results: a null payload is empty, and empty payloads are equal. Very long payloads are one
+record each, in memory in proportion to the longest one. Rows that share the least page_id of a payload
+are all responses, so repeated rows are. A null page_id is never the least unless the payload has no
+other id, and then all its rows are responses. Tables without rows give no archive. Columns beside
+page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SLICE_ROWS, hashed_sample, materialize, shared_dir
+from lodestar.llm.common import LISTED, SLICE_ROWS, hashed_sample, materialize, shared_dir
 
 SKIPPABLE = 0x184D2A5D
-SAMPLE, HEAD, DICTIONARY = 500, 16_384, 65_536
+SAMPLE, DICTIONARY = 500, 65_536
+#: Bytes of a sampled record that build the dictionary, and the parts they come in.
+PART, CHUNKS = 16_384, 16
+#: Pages of one payload above which they are not shuffled to it.
+HOT = 100_000
 #: Bytes of records, before compression, after which a task begins another archive.
 ARCHIVE = 64 << 20
 LEVEL, DATE = 3, "2024-01-01T00:00:00Z"
@@ -111,19 +120,51 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
+def resolved(pages: DataFrame, limit: int = LISTED, hot: int = HOT) -> DataFrame:
+    """(page_id, url, html, digest, refers): refers is the response that a page revisits."""
+    pages = pages.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    first = pages.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    first = materialize(first, "repeated")
+    if first.count() <= limit:
+        rows = pages.join(F.broadcast(first.drop("n")), "digest", "left")
+    else:
+        often = F.broadcast(first.filter(F.col("n") > hot).drop("n"))  # at most rows / hot payloads
+        rest = pages.join(often, "digest", "left_anti").join(first.filter(F.col("n") <= hot).drop("n"), "digest", "left")
+        rows = pages.join(often, "digest").unionByName(rest)
+    return rows.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
+
+
+def spread_parts(raw: bytes) -> bytes:
+    """A record of at most PART bytes, or evenly spread parts of it that make as many."""
+    if len(raw) <= PART:
+        return raw
+    size = PART // CHUNKS
+    return b"".join(raw[at : at + size] for at in ((len(raw) - size) * i // (CHUNKS - 1) for i in range(CHUNKS)))
+
+
+def sampled_records(rows: DataFrame, ids: DataFrame, date: str, sample: int = SAMPLE) -> list[bytes]:
+    """What the dictionary is built from: records, or parts of them, of at most ``2 * sample`` pages."""
+    some = rows.join(F.broadcast(ids), "page_id", "left_semi")  # at most `sample` ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                part = whole.slice(at, SLICE_ROWS)
+                parts = [spread_parts(record(page, url, html.encode(), base64.b32encode(digest).decode(), refers, date)) for page, url, html, digest, refers in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], names=["raw"])
+
+    return [bytes(r["raw"]) for r in some.mapInArrow(run, "raw binary").limit(2 * sample).collect()]  # ids may repeat
+
+
 def write_archives(pages: DataFrame, uri: str | None = None, date: str = DATE) -> DataFrame:
     """Write a record per page; (path, n_records) of each archive, read from the manifest."""
     spark = pages.sparkSession
     uri = uri or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     files, path = store(uri)
     files.create_dir(path, recursive=True)
-    pages = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    rows = resolved(pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")))
     ids = hashed_sample(pages.select("page_id").filter("page_id is not null"), "page_id", SAMPLE).distinct()
-    some = pages.join(F.broadcast(ids), "page_id", "left_semi").select(F.substring("html", 1, HEAD).alias("html")).limit(2 * SAMPLE)  # ids may repeat
-    dictionary = build_dictionary([r["html"].encode() for r in some.collect()])
-    pages = pages.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    first = pages.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
-    rows = pages.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
+    dictionary = build_dictionary(sampled_records(rows, ids, date))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Writer(uri, dictionary)
