@@ -7,14 +7,18 @@ within ``bits``, at least ``blocks - bits`` blocks agree in every coordinate. Ea
 thus filed in the grid cells of every choice of ``blocks - bits`` blocks, and only members of one
 cell are compared: a range search on the total count, then the Manhattan bound, then the exact
 distance. A cell with more than ``CELL`` members (near copies of one document) goes on to the next,
-finer grid together with all members of such cells; cells of the last grid hold at most 4096
-distinct fingerprints by construction, so no cell grows with the data and no link is lost. A cell
-emits a forest of its links, not all its pairs. Components come from alternating large-star and
-small-star steps over tables in the shared folder.
-
-Defined results: null or word-less text has fingerprint 0, which links like any other. Repeated
-rows share a component. A null doc_id gets its group's component and never names one, unless the
-group has no other id (component null). Extra columns are ignored.
+finer grid together with all members of such cells; the segments of the last grid are single bits,
+which are their own counts, so that its cells hold at most 4096 distinct fingerprints by construction:
+no cell grows with the data and no link is lost. A cell emits a forest of its links, not all its pairs.
+Components come from alternating large-star and small-star steps over tables in the shared folder;
+nodes with more than ``HOT`` links, of which there are at most twice the links over ``HOT``, meet their
+neighbours by a broadcast.
+
+Defined results: null or word-less text has fingerprint 0, which links like any other. Very long texts
+are hashed whole, in memory in proportion to the longest one. Repeated rows share a component. Of equal
+component members the least doc_id names the component. A null doc_id gets its group's component and
+never names one, unless the group has no other id (component null). An empty table gives no rows. Extra
+columns are ignored, whatever their names, and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import LOWER, UPPER, map_texts, materialize
+from lodestar.llm.common import LOWER, UPPER, map_texts, materialize, split_listed, text_key
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Members above which a cell is refined on the next grid.
@@ -38,7 +42,9 @@ CELL = 2048
 #: Shingles whose bits are unpacked at once.
 CHUNK = 65_536
 #: The later grids: (bits of a segment, blocks). 16 blocks of 4 bits leave at most 2**12 members.
-FINER = ((1, 8), (1, 16))
+FINER = ((2, 8), (1, 16))
+#: Links of a node above which its neighbours are not shuffled to it.
+HOT = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -184,7 +190,16 @@ def links(fps: DataFrame, bits: int = 3, cell: int = CELL) -> DataFrame:
     return out.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _with_least(pairs: DataFrame, least: DataFrame, n: int, hot: int) -> DataFrame:
+    """``pairs`` joined with (u, m, n) on u, where ``n`` pairs at most may share one u."""
+    if n <= hot:
+        return pairs.join(least.select("u", "m"), "u")
+    few = F.broadcast(materialize(least.filter(F.col("n") > hot).select("u", "m"), "hot"))  # at most 2 * n / hot rows
+    rest = pairs.join(few, "u", "left_anti").join(least.filter(F.col("n") <= hot).select("u", "m"), "u")
+    return pairs.join(few, "u").unionByName(rest)
+
+
+def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     """(node, root) for every node with a link: root is the component's least node.
 
     Large-star joins each greater neighbour, small-star each lesser one, to the least neighbour;
@@ -193,15 +208,19 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("a", "b"), "edges")
 
     def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+        """Number of edges and sums over them, which the edges of two rounds share only if none changed."""
+        h = F.xxhash64("a", "b")
+        return tuple(df.agg(F.count("*"), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h), F.sum(F.col("a").cast("decimal(20,0)"))).first())
 
     seen = mark(edges)
     while seen[0]:
+        n = 2 * seen[0]
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        small = large.withColumnRenamed("b", "u").join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both.filter("v > u"), least, n, hot).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        large = materialize(large, "large") if n > hot else large
+        least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large.withColumnRenamed("b", "u"), least, n, hot)
         small = small.filter("a <> m").select("m", F.col("a").alias("n")).union(least.select("m", F.col("u").alias("n")))
         edges = materialize(small.select(F.col("m").alias("a"), F.col("n").alias("b")).distinct(), "edges")
         now = mark(edges)
@@ -213,7 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, bits: int, shingle: int, seed: int, cell: int) -> DataFrame:
     """(doc_id, text_key, fp, root, component_id): root is the component's least fingerprint."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    keyed = docs.select("doc_id", text_key(docs).alias("text_key"), "text")
     printed = materialize(fingerprints(keyed, shingle, seed, ["doc_id", "text_key"]), "fingerprints")
     distinct = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct.select("fp"), bits, cell))
@@ -230,11 +249,18 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int
 def keep_first(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42, cell: int = CELL) -> DataFrame:
     """One document of each component, in the documents' own columns: the one that names it.
 
-    Of rows that share its doc_id one text stays, and rows that repeat it come back once.
+    Of rows that share its doc_id one text stays, and rows that repeat it come back once. What goes is
+    listed by doc_id and text hash; texts are shuffled only if that list is too long to broadcast, or
+    for the rows that repeat a kept one.
     """
-    found = materialize(_grouped(docs, bits, shingle, seed, cell), "components")
-    kept = found.filter("component_id is null or doc_id = component_id")
-    kept = kept.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("x"))
-    kept = materialize(kept.select(F.col("x.doc_id").alias("kept_id"), F.col("x.text_key").alias("kept_key"), F.col("x.n").alias("kept_n")), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_key"]), "left_semi")
-    return out if kept.filter("kept_n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    found = _grouped(docs, bits, shingle, seed, cell)
+    pairs = materialize(found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id")), "pairs")
+    kept = pairs.filter("component_id is null or doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("x"))
+    kept = materialize(kept.select("x.*"), "kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), F.col("n").alias("kept_n"))
+    gone = pairs.join(kept, pairs["doc_id"].eqNullSafe(kept["kept_id"]) & (pairs["text_key"] == kept["kept_key"]), "left_anti")
+    _, out = split_listed(docs, materialize(gone.select("doc_id", "text_key"), "gone"))
+    again = kept.filter("kept_n > 1").select(F.col("kept_id").alias("doc_id"), F.col("kept_key").alias("text_key"))
+    if again.isEmpty():
+        return out
+    repeated, once = split_listed(out, again)
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
