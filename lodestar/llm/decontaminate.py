@@ -5,21 +5,25 @@ window of ``window - k + 1`` k-grams (ties keep all), so that any ``window`` con
 shared by a document and an item keep at least one common k-gram on both sides. A document's kept
 k-grams carry the few word hashes around them; those that occur among the benchmark's fingerprints
 are extended to every window that holds them, and the windows are joined with the benchmark's
-distinct windows. No document text is shuffled and no pairs of documents and items are made: a
-window brings the list of its items.
+distinct windows. Items of fewer words are looked for where a bitmap has their first word. No document
+text is shuffled and no pairs of documents and items are made for each hit: a window brings the number of
+its list of items, which a document meets once.
 
-Defined results: null or empty text has no words and no hits. Items without words match nothing;
+Defined results: null or empty text has no words and no hits; very long texts are searched whole. An empty
+table of items hits nothing, one of documents gives no rows. Items without words match nothing;
 items of fewer than ``window`` words match as a whole. Repeated benchmark rows count once per
 item_id, items with a null id mark words but are not listed. Repeated documents each get a row;
-rows of one doc_id with other texts are judged by their own text. Extra columns are ignored.
+rows of one doc_id with other texts are judged by their own text. Equal hashes in a window (ties) are all
+kept. Extra columns are ignored, whatever their names, and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ascii_lower, hinted, materialize
+from lodestar.llm.common import ascii_lower, hinted, materialize, split_listed, text_key
 
 #: Java form of a run of characters that are in no word, after lower-casing A-Z.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,6 +64,32 @@ def _selected(window: int, span: int) -> Column:
     return F.transform(kept, lambda i: F.struct(m[i].alias("fp"), i.alias("first"), F.slice("wh", i + 1, window + 2 * span - 1).alias("near")))
 
 
+#: 64-bit words of the bitmap of first words by which short items are looked for: 2**18 bits.
+BITMAP = 4096
+
+
+def _first_words(short: DataFrame) -> Column:
+    """A bitmap of the hashes of the windows' first words, as an array of BITMAP longs."""
+    h = F.col("win")[0]
+    place, bit = F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1).cast("int"), h.bitwiseAND(63).cast("int")
+    rows = short.select(place.alias("place"), bit.alias("bit")).groupBy("place").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    bits = np.zeros(BITMAP, dtype=np.int64)
+    for r in rows.collect():  # at most BITMAP rows
+        bits[r["place"]] = r["bits"]
+    return F.lit(bits).cast("array<bigint>")
+
+
+def _grams(n: int, bitmap: Column) -> Column:
+    """(start, win) of a document's n-grams whose first word may begin a short item."""
+
+    def may(i: Column) -> Column:
+        h = F.col("wh")[i]
+        word = F.get(bitmap, F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1).cast("int"))
+        return F.call_function("shiftrightunsigned", word, h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+    return F.transform(F.filter(_steps(F.size("wh") - (n - 1)), may), lambda i: F.struct(i.alias("start"), F.slice("wh", i + 1, n).alias("win")))
+
+
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
     """(win, items): each distinct window as word hashes, with the ids of the items that hold it."""
     rows = items.select(F.col("item_id").alias("item"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("wh")).filter(F.size("wh") > 0)
@@ -74,7 +104,7 @@ def hits(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 10) -> Dat
     """
     windows = materialize(benchmark_windows(items, window), "windows")
     lengths = {r["n"]: r["c"] for r in windows.groupBy(F.size("win").alias("n")).agg(F.count("*").alias("c")).collect()}  # at most `window` rows
-    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
+    docs = docs.select("doc_id", text_key(docs).alias("text_key"), words(F.col("text")).alias("w"))
     docs = docs.select("doc_id", "text_key", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
     found = []
     if lengths.get(window):
@@ -86,16 +116,22 @@ def hits(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 10) -> Dat
         near = near.select("doc_id", "text_key", "first", "near", F.explode(F.sequence(F.lit(0), F.size("near") - window)).alias("j"))
         found.append(near.select("doc_id", "text_key", (F.col("first") + F.col("j")).alias("start"), F.slice("near", F.col("j") + 1, window).alias("win")))
     for n in sorted(x for x in lengths if x < window):
-        grams = F.transform(_steps(F.size("wh") - (n - 1)), lambda i: F.struct(i.alias("start"), F.slice("wh", i + 1, n).alias("win")))  # noqa: B023
-        found.append(docs.select("doc_id", "text_key", F.explode(grams).alias("x")).select("doc_id", "text_key", "x.*"))
+        bitmap = _first_words(windows.filter(F.size("win") == n))
+        some = docs.select("doc_id", "text_key", F.explode(_grams(n, bitmap)).alias("x"))
+        found.append(some.select("doc_id", "text_key", "x.*"))
     if not found:
         found.append(docs.select("doc_id", "text_key", F.lit(0).alias("start"), F.col("wh").alias("win")).limit(0))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    every = every.join(hinted(windows, sum(lengths.values()), MAX_WINDOWS), "win")
-    spans = F.sort_array(F.collect_set(F.struct("start", F.size("win").alias("len"))))
-    return every.groupBy("doc_id", "text_key").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    named = windows.withColumn("held", F.xxhash64(F.array_sort("items")))  # windows of the same items
+    every = every.join(hinted(named.select("win", "held"), sum(lengths.values()), MAX_WINDOWS), "win")
+    every = every.groupBy("doc_id", "text_key", "held").agg(F.collect_set(F.struct("start", F.size("win").alias("len"))).alias("spans"))
+    sets = named.groupBy("held").agg(F.first("items").alias("items"))  # no more than windows
+    every = every.join(hinted(sets, sum(lengths.values()), MAX_WINDOWS), "held")
+    return every.groupBy("doc_id", "text_key").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+    )
 
 
 def covered(spans: Column) -> Column:
@@ -112,7 +148,7 @@ def covered(spans: Column) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items) per document."""
     found = hits(docs, items, k, window).withColumnsRenamed({"doc_id": "hit_doc", "text_key": "hit_key"})
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    base = docs.select("doc_id", text_key(docs).alias("text_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = base.join(found, base["doc_id"].eqNullSafe(found["hit_doc"]) & (base["text_key"] == found["hit_key"]), "left")
     ids = F.coalesce("items", F.array().cast(found.schema["items"].dataType))
     names = F.array_sort(F.transform(ids, lambda x: x.cast("string")))
@@ -130,6 +166,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 1
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, window: int = 10) -> DataFrame:
-    """The documents without a hit, in their own columns."""
-    found = hits(docs, items, k, window).select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["hit_doc"]) & (F.xxhash64(docs["text"]) == found["hit_key"]), "left_anti")
+    """The documents without a hit, in their own columns; texts are shuffled only if the list of the
+    others is too long to broadcast."""
+    found = materialize(hits(docs, items, k, window).select("doc_id", "text_key"), "contaminated")
+    return split_listed(docs, found)[1]
