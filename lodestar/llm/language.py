@@ -9,7 +9,9 @@ Prototypes are fitted on the labelled documents with a letter: on all of a langu
 distinct ids, on about ``SAMPLE`` chosen by a hash of doc_id beyond. Each language is sampled by itself,
 so that none is lost at any size.
 Defined results: texts that are null or without a letter are ``und`` with score 0, as are all texts
-if nothing was learned. Ties go to the language first in order. Null langs and ids teach nothing.
+if nothing was learned. Ties go to the language first in order. Null langs and ids teach nothing. Very
+long texts are bundled whole, a slice at a time. Repeated rows each get a row and teach each on its own;
+an empty table gives no rows. Columns beside doc_id, text and lang are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ If a window exceeds the capacity, the number of windows rises by one and the pie
 Packing runs inside each partition: no shuffle, memory bounded by one document and WINDOWS windows.
 Sequence ids are the partition's number and a counter: the same when a lost task is run again.
 
-Defined results: null or empty text is the end id alone. Repeated rows are packed each on its own.
-Whatever the last windows of a partition hold, pieces lie gapless from offset 0 in every sequence.
+Defined results: null or empty text is the end id alone. Very long texts fill windows of their own, in
+memory in proportion to the longest one. Repeated rows are packed each on its own, an empty table gives
+no pieces. Pieces of equal length are taken in their order. Columns beside doc_id and text are ignored,
+whatever their names. The same input partitions give the same sequences. Whatever the last windows of a partition hold, pieces lie gapless from offset 0 in every sequence.
 """
 
 from __future__ import annotations

@@ -7,8 +7,11 @@ context words within ``NEAR`` characters before it. Base spans are kept whatever
 ones need ``KEEP``.
 
 Every pattern is anchored so that a text of n characters takes time in proportion to n.
-Defined results: null is the empty text, without spans. Offsets are code points, end exclusive.
-Spans are ordered by start, then by kind as listed in KINDS. Repeated rows each get a row.
+Defined results: null is the empty text, without spans. Very long texts are searched whole. Offsets are
+code points, end exclusive. Spans are ordered by start, then by kind as listed in KINDS, which also
+settles ties of kinds that begin together; those of several kinds may overlap. Repeated rows each get a
+row, an empty table gives none. Columns beside doc_id and text are ignored by ``find`` and kept by
+``mask``, whatever their names.
 """
 
 from __future__ import annotations
