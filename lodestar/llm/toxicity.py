@@ -1,18 +1,22 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Fitting, on a bounded sample of labelled rows (``SAMPLE`` of each label, chosen by a hash of
-doc_id): the documents that hold each token or prefix give its log-odds among all such incidences,
-under an informative Dirichlet prior. Entries whose lower confidence bound reaches ``BOUND`` form a
-lexicon of at most ``LEXICON``; the bound is their score. A token scores as its best entry, any
-other token costs ``GAP``.
+doc_id): the occurrences of each token or prefix give its log-odds among all of them, under an
+informative Dirichlet prior; its error comes from the documents that hold it, in which occurrences go
+together. Entries whose lower confidence bound reaches ``BOUND`` form a lexicon of at most
+``LEXICON``; the bound is their score. A token scores as its best entry, any other token costs ``GAP``.
 Scoring, over whole texts: a linear scan finds all maximal-scoring segments. Under the null model a
 segment of score s is expected K n exp(-lambda s) times among n tokens; lambda and K come from the
 sample's clean documents. The normalised scores of the best segment and of all significant ones are
-combined by a logistic calibration, fitted on sampled rows that the lexicon was not fitted on.
-
-Defined results: null and empty texts score as documents without tokens. Labels that are null or
-neither 0 nor 1 are left out; of repeated labels of one doc_id the greater holds. Without labels
-of both kinds every score is 0. A null doc_id is held out of nothing and never learned from.
+combined by a logistic calibration, fitted on all sampled rows, each scanned with a lexicon of the
+``PARTS`` - 1 parts of the sample that it is not in.
+
+Defined results: null and empty texts score as documents without tokens. Very long texts are scanned
+whole. Labels that are null or neither 0 nor 1 are left out; of repeated labels of one doc_id the greater
+holds, of rows that share a labelled id one teaches. Without labels of both kinds every score is 0. A null
+doc_id is held out of nothing and never learned from. Of segments of equal score each counts, in order.
+Repeated rows each get a row, an empty table gives none. Columns beside doc_id and text are ignored by
+``classify`` and kept by ``drop_toxic``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,18 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import SLICE_ROWS, fold, hashed_sample, map_texts
+from lodestar.llm.common import SLICE_ROWS, fold, hashed_sample, map_texts, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit: labelled rows of each label, lexicon entries, entries of a worker's memo.
 SAMPLE, LEXICON, MEMO = 6_000, 20_000, 300_000
 PREFIXES = (4, 5, 6, 7)
-#: Least bound and least toxic documents of an entry, prior documents, cost of another token.
-BOUND, LEAST, PRIOR, GAP = 1.0, 5, 10.0, 0.25
+#: Least bound and least toxic documents of an entry, prior occurrences, cost of another token.
+BOUND, LEAST, PRIOR, GAP = 1.0, 5, 10.0, 0.02
 #: Standard errors between a log-odds and its bound; the greatest score of an entry.
 ERRORS, MOST = 1.28, 10.0
-#: Share of the sample that calibrates, as a fold of the ids' hash.
-CALIBRATE = 5
+#: Parts of the sample, by the ids' hash: each calibrates by what the others teach.
+PARTS = 5
 
 
 def features(word: str) -> list[str]:
@@ -99,30 +103,68 @@ def scan(text: str | None, memo: Memo) -> tuple[int, list[tuple[int, int, float]
 
 
 def evidence(n: int, found: list[tuple[int, int, float]], lam: float, log_k: float) -> list[float]:
-    """What the calibration sees: normalised best score, sum over segments, their number."""
+    """What the calibration sees: normalised best score, sum over segments, their number, the text's
+    length, and the segments' scores by length and in all."""
     room = log_k + math.log(max(n, 1))
     normal = sorted((lam * s - room for _, _, s in found), reverse=True)
     best = normal[0] if normal else -room
-    return [1.0, max(-20.0, min(best, 20.0)), min(sum(x + room for x in normal), 60.0) / 10, math.log1p(len(normal)), 1.0 if normal else 0.0]
-
+    total = sum(s for _, _, s in found)
+    return [
+        1.0, max(-20.0, min(best, 20.0)), min(sum(x + room for x in normal), 60.0) / 10, math.log1p(len(normal)), 1.0 if normal else 0.0,
+        math.log1p(n) / 5, math.log1p(100 * total / max(n, 20)), min(total, 60.0) / 10,
+    ]
 
-def _counts(df: DataFrame, only: dict | None) -> DataFrame:
-    """(token, n): documents that hold each feature, summed by slices before the shuffle.
 
-    The empty token counts the incidences of all features, whatever ``only`` keeps.
-    """
+def _counts(df: DataFrame, only: frozenset | None) -> DataFrame:
+    """(token, n_0, docs_0, n_1, ...): by part, occurrences of each feature and documents that hold it,
+    summed by slices before the shuffle. The empty token counts the occurrences of all features, whatever
+    ``only`` keeps."""
+    shared = df.sparkSession.sparkContext.broadcast(only)  # at most 10 * LEXICON entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
-                c: Counter = Counter()
-                for text in whole.slice(at, SLICE_ROWS).column(0).to_pylist():
-                    got = {x for w in set(WORD.findall((text or "").lower())) for x in features(w)}
-                    c.update(got if only is None else got & only.keys())
-                    c[""] += len(got)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
-
-    return df.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+                some = whole.slice(at, SLICE_ROWS)
+                n: Counter = Counter()
+                docs: Counter = Counter()
+                for text, part in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    own: Counter = Counter()
+                    for word, times in Counter(WORD.findall((text or "").lower())).items():
+                        for x in features(word):
+                            own[x] += times
+                    n["", part] += own.total()
+                    for x, times in own.items():
+                        if only is None or x in only:
+                            n[x, part] += times
+                            docs[x, part] += 1
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in n], pa.string()), pa.array([k for _, k in n], pa.int64()), pa.array(list(n.values()), pa.int64()), pa.array([docs[x] for x in n], pa.int64())], names=["token", "part", "n", "docs"])
+
+    sums = [F.coalesce(F.sum(F.when(F.col("part") == k, F.col(c))), F.lit(0)).alias(f"{c}_{k}") for k in range(PARTS) for c in ("n", "docs")]
+    return df.select("text", "part").mapInArrow(run, "token string, part long, n long, docs long").groupBy("token").agg(*sums)
+
+
+def _by_part(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Token to its occurrences and documents, a row for each."""
+    return {r[0]: np.array(r[1:]).reshape(PARTS, 2).T for r in rows.collect()}
+
+
+def _lexicon(toxic: dict[str, np.ndarray], clean: dict[str, np.ndarray], parts: list[int]) -> dict[str, float]:
+    """Entries and their scores, from the given parts."""
+    none = np.zeros((2, PARTS), dtype=np.int64)
+    total = [int(x.get("", none)[0, parts].sum()) for x in (clean, toxic)]
+    scored = []
+    for token, found in toxic.items():
+        y, y_docs = found[:, parts].sum(axis=1).tolist()
+        if not token or y_docs < LEAST:
+            continue
+        m, m_docs = clean.get(token, none)[:, parts].sum(axis=1).tolist()
+        a = max(0.5, PRIOR * (y + m) / max(sum(total), 1))
+        delta = math.log((y + a) / max(total[1] - y + 1, 1)) - math.log((m + a) / max(total[0] - m + 1, 1))
+        bound = delta - ERRORS * math.sqrt(1 / (y_docs + 0.5) + 1 / (m_docs + 0.5))  # occurrences in a document go together
+        if bound >= BOUND:
+            scored.append((min(bound, MOST), token))
+    return {t: b for b, t in sorted(scored, reverse=True)[:LEXICON]}
 
 
 def _lambda(hits: list[float], tokens: int) -> float:
@@ -147,50 +189,46 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, sampl
     """The model: lexicon, null-model constants and calibration. ``train`` limits the labels."""
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
     labels = (labels if train is None else labels.filter(train)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    empty = {"lexicon": {}, "lam": 1.0, "log_k": 0.0, "weights": None}
-    parts, share = {}, {}
-    for label in (0, 1):
-        some = hashed_sample(labels.filter(F.col("toxic") == label), "doc_id", sample)
-        rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most `sample` rows
-        parts[label] = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATE)))
-        share[label] = labels.filter(F.col("toxic") == label).count()
-    if not all(share.values()):
-        return empty
-    learn = {k: v.filter("part > 0") for k, v in parts.items()}
-    n = {k: v.count() for k, v in learn.items()}
-    toxic = _counts(learn[1], None).filter((F.col("n") >= LEAST) | (F.col("token") == "")).orderBy(F.desc("n"), "token").limit(10 * LEXICON)
-    toxic = dict(map(tuple, toxic.collect()))
-    clean = dict(map(tuple, _counts(learn[0], toxic).collect()))  # no more tokens than toxic has
-    total = {1: toxic.pop("", 0), 0: clean.pop("", 0)}
-    scored = []
-    for token, y in toxic.items():
-        m = clean.get(token, 0)
-        a = max(0.5, PRIOR * (y + m) / max(n[0] + n[1], 1))
-        delta = math.log((y + a) / max(total[1] - y + 1, 1)) - math.log((m + a) / max(total[0] - m + 1, 1))
-        bound = delta - ERRORS * math.sqrt(1 / (y + a) + 1 / (m + a))
-        if bound >= BOUND:
-            scored.append((min(bound, MOST), token))
-    lexicon = {t: b for b, t in sorted(scored, reverse=True)[:LEXICON]}
-
-    def make():
-        memo = Memo(lexicon)
-
-        def run(texts: list) -> list:
-            got = [scan(x, memo) for x in texts]
-            hits = [[s for s in map(memo.__getitem__, WORD.findall((x or "").lower())) if s] for x in texts]
-            return [[n for n, _ in got], [[s for _, _, s in f] for _, f in got], hits]
+    labels = materialize(labels, "labels")
+    share = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    if len(share) < 2:
+        return {"lexicon": {}, "lam": 1.0, "log_k": 0.0, "weights": None}
+    some = [hashed_sample(labels.filter(F.col("toxic") == k), "doc_id", sample, share[k]) for k in (0, 1)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")  # at most 2 * sample ids
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # ids may repeat
+    rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(PARTS))), "labelled")
+    counts = materialize(_counts(rows.filter("toxic = 1"), None), "toxic-counts")
+    docs_of = sum(F.col(f"docs_{k}") for k in range(PARTS))
+    toxic = _by_part(counts.filter(docs_of >= LEAST).orderBy(docs_of.desc(), "token").limit(10 * LEXICON))
+    clean = _by_part(_counts(rows.filter("toxic = 0"), frozenset(toxic)))  # no more tokens than toxic has
+    toxic |= _by_part(counts.filter("token = ''"))
+    every = list(range(PARTS))
+    lexicon = _lexicon(toxic, clean, every)
+    # the others of each part, so that no document is judged by what it taught
+    shared = docs.sparkSession.sparkContext.broadcast([_lexicon(toxic, clean, [x for x in every if x != k]) for k in every])
 
-        return run
-
-    fields = [T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("hits", T.ArrayType(T.DoubleType()))]
-    rows = {k: map_texts(v.filter("part = 0"), ["doc_id"], "text", make, fields).limit(2 * sample).collect() for k, v in parts.items()}  # ids may repeat
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos = [Memo(x) for x in shared.value]
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                some = whole.slice(at, SLICE_ROWS)
+                out: list[tuple] = []
+                for label, part, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    n, found = scan(text, memos[part])
+                    hits = [s for s in map(memos[part].__getitem__, WORD.findall((text or "").lower())) if s]
+                    out.append((label, n, [s for _, _, s in found], hits))
+                kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["toxic", "n", "s", "hits"])
+
+    seen = rows.select("toxic", "part", "text").mapInArrow(run, "toxic int, n long, s array<double>, hits array<double>").collect()  # at most 2 * sample rows
+    rows = {k: [r for r in seen if r["toxic"] == k] for k in (0, 1)}
     got = {k: [(r["n"], [(0, 0, s) for s in r["s"]]) for r in v] for k, v in rows.items()}
     lam = _lambda([s for r in rows[0] for s in r["hits"]], sum(n for n, _ in got[0]))
     tops = [lam * max(s for _, _, s in f) - math.log(max(n, 1)) for n, f in got[0] if f]
     # without segments the null model saw less than one in all clean tokens
     log_k = float(np.mean(tops)) - 0.5772 if len(tops) > 20 else -math.log(max(sum(n for n, _ in got[0]), 1)) + lam * 5
     log_k = max(min(log_k, 0.0), -12.0)
-    x = np.array([evidence(n, f, lam, log_k) for k in (0, 1) for n, f in got[k]]).reshape(-1, 5)
+    x = np.array([evidence(n, f, lam, log_k) for k in (0, 1) for n, f in got[k]]).reshape(-1, 8)
     y = np.array([float(k) for k in (0, 1) for _ in got[k]])
     weight = np.where(y > 0, share[1] / max(len(got[1]), 1), share[0] / max(len(got[0]), 1))
     weights = logistic(x, y, weight / weight.mean()).tolist() if len(x) else None
