@@ -109,6 +109,37 @@ def test_components_of_a_long_chain(spark):
     assert simhash.components(edges.limit(0)).count() == 0
 
 
+def test_hot_nodes_meet_their_neighbours_by_a_broadcast(spark):
+    rng = random.Random(9)
+    star = [(0, i) for i in range(1, 120)] + [(500, i) for i in range(100, 160)]
+    loose = [(rng.randint(1000, 1100), rng.randint(1000, 1100)) for _ in range(90)]
+    edges = [(min(e), max(e)) for e in star + loose if e[0] != e[1]]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few, all_ = ({r["node"]: r["root"] for r in simhash.components(df, hot).collect()} for hot in (10, 10**6))
+    root = {x: x for e in edges for x in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert few == all_ and all(few.get(x, x) == r for x, r in root.items())
+
+
+def test_long_lists_take_the_shuffle_join(spark, monkeypatch):
+    from functools import partial
+
+    from lodestar.llm import common
+
+    texts = ["a b c d e", "a b c d e", "p q r s t u", None, "", "x y z v w k", "x y z v w k"]
+    docs = docs_frame(spark, [*texts, (3, "twice here now"), (3, "twice here now"), (None, "p q r s t u")])
+    items = spark.createDataFrame([(1, "q r s")], ITEM)
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(simhash.keep_first(docs)), rows(decontaminate.drop_contaminated(docs, items))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(decontaminate.drop_contaminated(docs, items))
+    for module in (simhash, decontaminate):
+        monkeypatch.setattr(module, "split_listed", partial(common.split_listed, limit=-1))
+    assert (rows(simhash.keep_first(docs)), rows(decontaminate.drop_contaminated(docs, items))) == want
+
+
 def test_near_duplicates_edge_cases(spark):
     docs = docs_frame(spark, [(7, None), (3, ""), (9, " \t"), (4, "a b c d"), (4, "a b c d"), (2, "A B C D"), (None, "a b c d"), (None, "lonely text of its own here")])
     found = simhash.near_duplicates(docs.withColumn("fp", F.lit(1)).withColumn("root", F.lit(2))).collect()

@@ -55,6 +55,12 @@ def test_stages_on_odd_documents(spark, sf):
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count()
+    extra = docs_frame(spark, [None, "x", "x", "y " * 50]).withColumns({c: F.lit(1) for c in ("text_key", "fp", "root", "kept_id", "hit_doc", "_listed_id", "toxic", "part", "score", "spans", "n")})
+    columns = extra.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        extra = stage(spark, extra, sf)
+        assert extra.columns == columns
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, extra, sf).collect()} == {0, 1, 3}
     empty = docs_frame(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
