@@ -1,21 +1,29 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network predicts every token from the tokens on both its sides: embeddings of ``SIDE`` tokens
-before and after it, one hidden layer, and a softmax over ``CLASSES`` classes; a token's probability
-is that of its class times its share of the class in the corpus. A document scores the sum of its
-tokens' conditional log-probabilities.
-
-What the model knows comes from all documents. Token counts are summed over the whole corpus; the
-``WORDS`` most frequent tokens have ids of their own, others share an id by their ending and
-beginning, and split their class's rest evenly among its distinct tokens. The network trains in
-numpy where the documents lie: in each of ``ROUNDS`` rounds every task starts from the shared weights,
-takes each document's every ``STRIDE``-th token as an example, and hands its weights on; their
-average, by numbers of examples, starts the next round. The rounds begin at different places, and as
-``STRIDE`` is ``ROUNDS``, they make an example of every token of the corpus, once. Weights are summed in blocks, streamed in a
-fixed order, so the sum takes bounded memory whatever the number of tasks.
+before and after it, one hidden layer, a softmax over ``CLASSES`` classes and another over the members
+of the token's class. The most frequent ``ALONE`` words are classes alone; the others of the ``WORDS``
+most frequent are dealt over the other classes by their endings and beginnings, so that the classes are
+of near-equal size, and so are groups of all rarer tokens by ending and beginning. A token's probability is that of its class, times that of its member, times, in a group, its
+own share of the group in the corpus. A document scores the sum of its tokens' conditional
+log-probabilities.
+
+What the model knows comes from all documents, whose texts are read once and become slices of numbered
+tokens. Token counts are summed over the whole corpus; of tokens beyond the ``KNOWN`` most frequent each
+group keeps the mass and the number of kinds, which share it evenly. The network trains in numpy: the
+documents are dealt by a hash of id and text into logical shards of about ``SHARD`` tokens, in each of
+``ROUNDS`` rounds every shard starts from the shared weights, takes each document's every ``STRIDE``-th
+token as an example, in a fixed order, and hands its weights on; their average, by numbers of examples,
+starts the next round. The rounds begin at different places, and as ``STRIDE`` is ``ROUNDS``, they make
+an example of every token of the corpus, once. Shards, orders and sums do not depend on the number of
+partitions, cores or files, nor do the weights. Weights are summed in blocks, streamed in a fixed
+order, so the sum takes bounded memory whatever the number of shards.
 
 Defined results: null, empty and token-less texts have no tokens, log-likelihood 0, mean 0 and
-perplexity 1. Repeated rows each get a row. A corpus without tokens trains nothing.
+perplexity 1. Very long texts count like any other, in memory in proportion to the longest one. Repeated
+rows each get a row, and each counts. Tokens of one count are ordered by their hash. A corpus without
+tokens, or an empty table, trains nothing. Columns beside doc_id and text are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -23,198 +31,327 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import SLICE_ROWS, map_texts, materialize
+from lodestar.llm.common import SLICE_ROWS, materialize
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
-#: Tokens with ids of their own; the most frequent of them are classes alone.
+#: Tokens that are predicted one by one; the most frequent of them are classes alone.
 WORDS, ALONE = 8192, 63
-#: Classes by ending, and ids by beginning within each, of all other tokens.
+#: Endings and beginnings that make the groups; as many classes as endings share the other words.
 ENDINGS, BEGINNINGS = 64, 16
+GROUPS = ENDINGS * BEGINNINGS
 CLASSES = ALONE + ENDINGS
-#: One id stands for the text's edges.
-IDS = WORDS + ENDINGS * BEGINNINGS + 1
-EDGE = IDS - 1
-SIDE, DIM, HIDDEN = 2, 16, 32
-ROUNDS, STRIDE, BATCH, RATE = 2, 2, 512, 0.05
-#: Entries of a partial count and of a worker's memo; weights in a block; positions scored at once.
-COUNTS, MEMO, BLOCK, POSITIONS = 400_000, 300_000, 4096, 2048
+#: Tokens that keep their own count at most, and steps of a doubling above EXACT counts in their choice.
+KNOWN, EXACT, STEPS = 1_000_000, 1024, 16
+#: Tokens on each side, and the widths of the layers; the last of the hidden one is always one.
+SIDE, DIM, HIDDEN = 2, 8, 16
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 8192, 0.3
+#: Tokens of a shard on average, and of a slice at most but for its last text.
+SHARD, SLICE = 2_000_000, 400_000
+#: Entries of a partial count and of a worker's memo; weights in a block; positions in one product.
+COUNTS, MEMO, BLOCK, POSITIONS = 1_000_000, 300_000, 4096, 1024
 
 
 def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def ending(token: str) -> int:
-    return zlib.crc32(token[-2:].encode()) % ENDINGS
+def code(token: str) -> int:
+    """64 bits of a token: its hash above, its group (ending, then beginning) in the low bits."""
+    group = zlib.crc32(token[-2:].encode()) % ENDINGS * BEGINNINGS + zlib.crc32(token[:2].encode()) % BEGINNINGS
+    h = (xxhash.xxh64_intdigest(token.encode()) & -GROUPS) | group
+    return h - (1 << 64) if h >> 63 else h
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, n) over all documents, summed in each task before the shuffle."""
+class Codes(dict):
+    """Token to code; emptied when full."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        self[token] = c = code(token)
+        return c
 
-    def batch(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
+
+def slice_tokens(docs: DataFrame) -> DataFrame:
+    """Slices of some documents: their ids and lengths, the codes and counts of their distinct tokens, and
+    all tokens as places among those, of 16 bits if they suffice, else 32; binaries of little-endian numbers."""
+    kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("docs", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "codes", "counts", "places"))])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        memo = Codes()
+        ids, texts, held = [], [], 0
+
+        def cut() -> pa.RecordBatch:
+            place: defaultdict = defaultdict(count().__next__)
+            flat = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), dtype="<u4", count=held)
+            columns = [
+                np.array(list(map(len, texts)), dtype="<u4"),
+                np.fromiter(map(memo.__getitem__, place), dtype="<i8", count=len(place)),
+                np.bincount(flat, minlength=len(place)).astype("<u4"),
+                flat.astype("<u2") if len(place) <= 1 << 16 else flat,
+            ]
+            return pa.RecordBatch.from_arrays([pa.array([ids], type=arrow.field(0).type), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], schema=arrow)
+
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
-                for text in whole.slice(at, SLICE_ROWS).column(0).to_pylist():
-                    c.update(tokens(text))
-                if len(c) >= COUNTS:
-                    yield batch(c)
-                    c = Counter()
-        if c:
-            yield batch(c)
+                part = whole.slice(at, SLICE_ROWS)
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids.append(doc)
+                    texts.append(tokens(text))
+                    held += len(texts[-1])
+                    if held >= SLICE or len(ids) >= 4 * SLICE_ROWS:
+                        yield cut()
+                        ids, texts, held = [], [], 0
+        if ids:
+            yield cut()
 
-    return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-class Vocabulary:
-    """Ids, their classes and log-shares. ``top`` are the most frequent tokens with their counts,
-    ``rest`` by ending the tokens and distinct tokens that are not among them."""
-
-    def __init__(self, top: list[tuple[str, int]], rest: dict[int, tuple[int, int]]):
-        self.ids = {t: i for i, (t, _) in enumerate(top)}
-        self.cls = np.zeros(IDS, dtype=np.int32)
-        mass = np.zeros(CLASSES)
-        own = np.zeros(IDS)
-        for i, (t, n) in enumerate(top):
-            self.cls[i] = i if i < ALONE else ALONE + ending(t)
-            own[i] = n
-            mass[self.cls[i]] += n
-        for e in range(ENDINGS):
-            n, kinds = rest.get(e, (0, 0))
-            mass[ALONE + e] += n + 1
-            at = WORDS + e * BEGINNINGS
-            self.cls[at : at + BEGINNINGS] = ALONE + e
-            own[at : at + BEGINNINGS] = (n + 1) / (kinds + 1)
-        self.share = np.log(np.maximum(own, 1e-12) / np.maximum(mass[self.cls], 1e-12)).astype(np.float32)
-        self.prior = np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES)).astype(np.float32)
-
-
-class Encoder(dict):
-    """Token to id; emptied when full."""
-
-    def __init__(self, ids: dict[str, int]):
-        super().__init__(ids)
-        self.fixed = ids
+def count_tokens(slices: DataFrame) -> DataFrame:
+    """(code, n) over all documents, summed in each task before the shuffle."""
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= MEMO + len(self.fixed):
-            self.clear()
-            self.update(self.fixed)
-        self[token] = i = WORDS + ending(token) * BEGINNINGS + zlib.crc32(token[:2].encode()) % BEGINNINGS
-        return i
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, held = [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            kinds, place = np.unique(np.concatenate(codes), return_inverse=True)
+            return kinds, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
+
+        def batch(kinds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], names=["code", "n"])
 
+        for part in batches:
+            for c, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                codes.append(np.frombuffer(c, dtype="<i8"))
+                counts.append(np.frombuffer(n, dtype="<u4"))
+                held += len(codes[-1])
+                if held >= COUNTS:
+                    kinds, total = merged()
+                    codes, counts, held = [kinds], [total], len(kinds)
+                    if held >= COUNTS // 2:
+                        yield batch(kinds, total)
+                        codes, counts, held = [], [], 0
+        if held:
+            yield batch(*merged())
 
-def vocabulary(docs: DataFrame, words: int = WORDS) -> Vocabulary:
-    counts = materialize(count_tokens(docs), "tokens")
-    top = counts.orderBy(F.desc("n"), "token").limit(words)
-    top = [(r["token"], r["n"]) for r in top.collect()]  # at most WORDS rows
-    spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame([(t,) for t, _ in top], "token string"))
-    by = (F.crc32(F.substring("token", -2, 2).cast("binary")) % ENDINGS).cast("int").alias("e")
-    rest = counts.join(known, "token", "left_anti").groupBy(by).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    return Vocabulary(top, {r["e"]: (r["n"], r["kinds"]) for r in rest.collect()})  # a row per ending
+    return slices.select("codes", "counts").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(doc_id, ids): each text's ids as little-endian 16-bit numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab.ids)  # at most WORDS entries
+class Vocabulary:
+    """Members and their classes, with the own shares of tokens within groups.
+
+    ``codes`` and ``counts`` are the known tokens, ``rest`` by group the mass and the kinds of all others.
+    The members of a class have numbers in a row; ``edge`` is one more, for what lies beyond a text.
+    """
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, rest: dict[int, tuple[int, int]], words: int = WORDS):
+        order = np.lexsort((codes, -counts))
+        codes, counts = codes[order], counts[order].astype(np.float64)
+        self.total = int(counts.sum()) + sum(n for n, _ in rest.values())
+        top = min(words, len(codes))
+        alone = min(ALONE, top)
+        group = codes & (GROUPS - 1)
+        mass, kinds = np.zeros(GROUPS), np.zeros(GROUPS)
+        for g, (n, k) in rest.items():
+            mass[g], kinds[g] = n, k
+        even = mass / np.maximum(kinds, 1)
+        mass += np.bincount(group[top:], weights=counts[top:], minlength=GROUPS)
+        size = np.bincount(group[alone:top], minlength=GROUPS)
+        holds, filled = np.zeros(GROUPS, dtype=np.int64), [0] * ENDINGS
+        for g in np.argsort(-size, kind="stable").tolist():  # the classes get near-equal numbers of words
+            holds[g] = c = filled.index(min(filled))
+            filled[c] += int(size[g])
+        cls = np.concatenate([np.arange(alone), ALONE + holds[group[alone:top]], ALONE + np.arange(GROUPS) // BEGINNINGS])
+        size = np.concatenate([counts[:top], mass])
+        by = np.argsort(cls, kind="stable")
+        number = np.empty(len(by), dtype=np.int64)
+        number[by] = np.arange(len(by))
+        self.cls, size = cls[by], size[by] + 0.5
+        self.edge = len(by)
+        self.low = np.searchsorted(self.cls, np.arange(CLASSES + 1))
+        whole = np.bincount(self.cls, weights=size, minlength=CLASSES)
+        self.prior = np.log((whole + 0.5) / (whole.sum() + 0.5 * CLASSES)).astype(np.float32)
+        self.within = np.log(size / whole[self.cls]).astype(np.float32)
+        self.group_id = number[top:].astype(np.uint16)  # of each group
+        with np.errstate(divide="ignore"):
+            self.group_share = np.where(mass > 0, np.log(np.maximum(even, 1e-12) / np.maximum(mass, 1e-12)), 0.0)
+        share = np.where(np.arange(len(codes)) < top, 0.0, np.log(np.maximum(counts, 1e-12)) - np.log(np.maximum(mass[group], 1e-12)))
+        member = np.concatenate([number[:top], number[top:][group[top:]]])
+        by = np.argsort(codes)
+        self.codes, self.member, self.share = codes[by], member[by].astype(np.uint16), share[by]
+
+    def look_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members of codes, and the logs of their own shares within them."""
+        group = codes & (GROUPS - 1)
+        member, share = self.group_id[group], self.group_share[group]
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            known = self.codes[at] == codes
+            member, share = np.where(known, self.member[at], member), np.where(known, self.share[at], share)
+        return member, share
+
+
+def vocabulary(slices: DataFrame, words: int = WORDS, most: int = KNOWN) -> Vocabulary:
+    counts = materialize(count_tokens(slices), "tokens")
+    n = F.col("n")
+    level = F.when(n < EXACT, n).otherwise(EXACT + F.floor(STEPS * F.log2(n / EXACT))).cast("int")
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("kinds")).collect()  # EXACT rows and a few more
+    least, room = 1 << 30, most
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        if r["kinds"] > room:
+            break
+        least, room = r["level"], room - r["kinds"]
+    known = counts.filter(level >= least).toArrow()  # at most KNOWN rows
+    rest = counts.filter(level < least).groupBy(F.col("code").bitwiseAND(GROUPS - 1).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    rest = {r["g"]: (r["n"], r["kinds"]) for r in rest.collect()}  # at most GROUPS rows
+    return Vocabulary(known.column("code").to_numpy(), known.column("n").to_numpy(), rest, words)
+
+
+def encode(slices: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(doc_id, ids, own): each text's members as little-endian 16-bit numbers, and the sum of the logs of
+    its tokens' own shares within them."""
+    shared = slices.sparkSession.sparkContext.broadcast(vocab)  # at most KNOWN entries of 18 bytes
+    kind = slices.schema["docs"].dataType.elementType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType()), T.StructField("own", T.DoubleType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
 
-    def make():
-        memo = Encoder(shared.value)
-        return lambda texts: [[np.array(list(map(memo.__getitem__, tokens(x))), dtype="<u2").tobytes() for x in texts]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        for some in batches:
+            for row in range(some.num_rows):
+                sizes, codes, places = (np.frombuffer(some.column(c)[row].as_py(), dtype=t) for c, t in (("sizes", "<u4"), ("codes", "<i8"), ("places", "<u1")))
+                places = places.view("<u2" if len(codes) <= 1 << 16 else "<u4")
+                member, share = vocab.look_up(codes)
+                cut = np.cumsum(sizes)
+                ids = np.split(member[places].astype("<u2"), cut[:-1])
+                own = [float(math.fsum(x)) for x in np.split(share[places], cut[:-1])]
+                yield pa.RecordBatch.from_arrays([some.column("docs")[row].values, pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(own, pa.float64())], schema=arrow)
 
-    return map_texts(docs, ["doc_id"], "text", make, [T.StructField("ids", T.BinaryType())])
+    return slices.select("docs", "sizes", "codes", "places").mapInArrow(run, schema)
 
 
 # -- the network
 
 
 def start(vocab: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
-    """Weights that predict each class by its share of the corpus."""
+    """Weights that predict each class, and each member in it, by its share of the corpus."""
     rng = np.random.default_rng(seed)
     return {
-        "e": rng.normal(0, 0.3, (IDS, DIM)).astype(np.float32),
-        "w": rng.normal(0, 1 / math.sqrt(2 * SIDE * DIM), (2 * SIDE * DIM, HIDDEN)).astype(np.float32),
-        "b": np.zeros(HIDDEN, dtype=np.float32),
-        "u": np.zeros((HIDDEN, CLASSES), dtype=np.float32),
-        "c": vocab.prior.copy(),
+        "e": rng.normal(0, 0.3, (vocab.edge + 1, DIM)).astype(np.float32),
+        # the last of the hidden layer gets nothing but a one, by which the biases below count
+        "w": rng.normal(0, 1 / math.sqrt(2 * SIDE * DIM), (2 * SIDE * DIM, HIDDEN)).astype(np.float32) * (np.arange(HIDDEN) < HIDDEN - 1).astype(np.float32),
+        "b": (np.arange(HIDDEN) == HIDDEN - 1).astype(np.float32),
+        "u": np.concatenate([np.zeros((HIDDEN - 1, CLASSES), dtype=np.float32), vocab.prior[None]]),
+        "v": np.concatenate([np.zeros((vocab.edge, HIDDEN - 1), dtype=np.float32), vocab.within[:, None]], axis=1),
     }
 
 
-def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of several texts in one array, edges around each; the place of each text's first id."""
+def joined(texts: list[np.ndarray], edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of several texts in one array, edges around each; the place of each text's first."""
     size = np.array([len(x) for x in texts], dtype=np.int64)
     first = SIDE + np.concatenate([[0], np.cumsum(size[:-1] + SIDE)]) if len(size) else size
-    out = np.full(int(size.sum()) + SIDE * (len(size) + 1), EDGE, dtype=np.int64)
+    out = np.full(int(size.sum()) + SIDE * (len(size) + 1), edge, dtype=np.int64)
     for x, at in zip(texts, first.tolist(), strict=True):
         out[at : at + len(x)] = x
     return out, first
 
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ids on both sides of the places ``at`` of a joined array."""
+    """Members on both sides of the places ``at`` of a joined array."""
     return np.stack([ids[at + o] for o in range(-SIDE, SIDE + 1) if o], axis=1)
 
 
-def log_sum(logits: np.ndarray) -> np.ndarray:
-    """Row-wise log of the sum of exponentials; spends ``logits``. Only extreme rows are shifted."""
-    if logits.size and float(logits.max()) > 60:
-        top = logits.max(axis=1)
-        return top + log_sum(logits - top[:, None])
-    if logits.size and float(logits.min()) < -60:  # a whole row may vanish
-        top = logits.max(axis=1)
-        if float(top.min()) < -60:
-            return top + log_sum(logits - top[:, None])
-    np.exp(logits, out=logits)
-    return np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype))
-
-
-def step(p: dict[str, np.ndarray], state: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> float:
+def exponents(h: np.ndarray, weights: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of ``h @ weights``; row-wise the logits at ``own`` and the sums, all alike shifted where
+    single precision does not reach."""
+    rows = np.arange(len(own))
+    logits = h @ weights
+    at = logits[rows, own]
+    with np.errstate(over="ignore", under="ignore"):
+        np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], dtype=logits.dtype)
+    if not (float(total.min(initial=1)) > 1e-30 and float(total.max(initial=1)) < 1e30):
+        logits = h @ weights
+        logits -= logits.max(axis=1)[:, None]
+        at = logits[rows, own]
+        np.exp(logits, out=logits)
+        total = logits.sum(axis=1)
+    return logits, at, total
+
+
+def by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows of classes with several members in order, and (class, from, to) among them."""
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    cut = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
+    first = int(cut[ALONE])
+    return order[first:], [(c, int(cut[c]) - first, int(cut[c + 1]) - first) for c in range(ALONE, CLASSES) if cut[c] < cut[c + 1]]
+
+
+def step(p: dict[str, np.ndarray], state: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, vocab: Vocabulary) -> float:
     """One Adagrad step on a batch; the mean loss before it."""
-    n = len(y)
+    n, kind = len(y), vocab.cls[y]
     emb = p["e"].take(x, axis=0).reshape(n, -1)
     hid = emb @ p["w"]
     hid += p["b"]
     np.maximum(hid, 0, out=hid)
-    out = hid @ p["u"]
-    out += p["c"]
-    if float(out.max()) > 60 or float(out.min()) < -60:  # only extreme batches are shifted
-        out -= out.max(axis=1, keepdims=True)
-    own = out[np.arange(n), y]
-    prob = np.exp(out, out=out)
-    total = prob @ np.ones(prob.shape[1], dtype=prob.dtype)
-    loss = float((np.log(total) - own).mean())
-    prob *= (1 / (n * total))[:, None]
-    prob[np.arange(n), y] -= 1 / n
-    back = prob @ p["u"].T
+    back = np.empty_like(hid)
+    grads = {"u": np.zeros_like(p["u"]), "v": np.zeros_like(p["v"])}
+    loss = 0.0
+
+    def softmax(h: np.ndarray, weights: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the logits but for a factor of each row, and the factors."""
+        nonlocal loss
+        out, at, total = exponents(h, weights, own)
+        loss += float((np.log(total) - at).sum()) / n
+        out[np.arange(len(own)), own] -= total
+        return out, (1 / (n * total))[:, None].astype(out.dtype)
+
+    for a in range(0, n, POSITIONS):  # the classes
+        h, some = hid[a : a + POSITIONS], back[a : a + POSITIONS]
+        out, factor = softmax(h, p["u"], kind[a : a + POSITIONS])
+        np.matmul(out, p["u"].T, out=some)
+        some *= factor
+        grads["u"] += (h * factor).T @ out
+    rows, parts = by_class(kind)
+    near, member = hid.take(rows, axis=0), y[rows]
+    deep = np.empty_like(near)
+    for c, a, b in parts:  # the members of each class
+        low, high = vocab.low[c], vocab.low[c + 1]
+        v, h, some = p["v"][low:high], near[a:b], deep[a:b]
+        out, factor = softmax(h, v.T, member[a:b] - low)
+        np.matmul(out, v, out=some)
+        some *= factor
+        np.matmul(out.T, h * factor, out=grads["v"][low:high])
+    back[rows] += deep
     back *= hid > 0
-    deep = (back @ p["w"].T).reshape(-1, DIM)
-    every = np.ones(n, dtype=prob.dtype)
-    grads = {"u": hid.T @ prob, "c": every @ prob, "w": emb.T @ back, "b": every @ back}
+    back[:, -1] = 0
+    grads["w"], grads["b"] = emb.T @ back, back.sum(axis=0)
+    deep = (back @ p["w"].T).reshape(-1, DIM).T.astype(np.float64)
+    flat = x.ravel()
+    grads["e"] = np.stack([np.bincount(flat, weights=d, minlength=len(p["e"])) for d in deep], axis=1).astype(emb.dtype)
     for k, g in grads.items():
         state[k] += g * g
-        p[k] -= RATE * g / np.sqrt(state[k] + 1e-8)
-    flat = x.ravel().astype(np.uint16)  # which sorts by radix
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    rows, g = flat[first].astype(np.int64), np.add.reduceat(deep.take(order, axis=0), first, axis=0)
-    square = state["e"].take(rows, axis=0) + g * g
-    state["e"][rows] = square
-    p["e"][rows] -= RATE * g / np.sqrt(square + 1e-8)
+        g *= RATE
+        g /= np.sqrt(state[k] + 1e-8)
+        p[k] -= g
     return loss
 
 
@@ -230,42 +367,59 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def train_round(encoded: DataFrame, p: dict[str, np.ndarray], vocab: Vocabulary, number: int, stride: int = STRIDE) -> dict[str, np.ndarray]:
-    """Average of the weights that all tasks reach from ``p``, by their numbers of examples."""
-    shared = encoded.sparkSession.sparkContext.broadcast((p, vocab.cls))
+def train_round(encoded: DataFrame, p: dict[str, np.ndarray], vocab: Vocabulary, number: int, stride: int = STRIDE, shard: int = SHARD) -> dict[str, np.ndarray]:
+    """Average of the weights that all shards reach from ``p``, by their numbers of examples."""
+    shards = max(1, -(-vocab.total // shard))
+    shared = encoded.sparkSession.sparkContext.broadcast((p, vocab))
     phase = number * stride // ROUNDS % stride
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, cls = shared.value
-        p = {k: v.copy() for k, v in p.items()}
+    def learner(shard: int):
+        """A function that takes a text, and gives the weights when it takes None."""
+        start, vocab = shared.value
+        p = {k: v.copy() for k, v in start.items()}
         state = {k: np.zeros_like(v) for k, v in p.items()}
-        task = TaskContext.get().partitionId()
         texts, held, seen = [], 0, 0
 
-        def learn(texts: list[np.ndarray], seen: int) -> int:
-            ids, first = joined(texts)
+        def learn() -> int:
+            ids, first = joined(texts, vocab.edge)
             at = [np.arange(a + phase, a + len(x), stride) for a, x in zip(first.tolist(), texts, strict=True) if len(x)]
             if not at:
                 return 0
-            at = np.random.default_rng([task, seen]).permutation(np.concatenate(at))
+            at = np.random.default_rng([shard, seen]).permutation(np.concatenate(at))
             for i in range(0, len(at), BATCH):
                 some = at[i : i + BATCH]
-                step(p, state, contexts(ids, some), cls[ids[some]])
+                step(p, state, contexts(ids, some), ids[some], vocab)
             return len(at)
 
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                texts.append(np.frombuffer(raw, dtype="<u2"))
+        def take(text: bytes | None):
+            nonlocal texts, held, seen
+            if text is not None:
+                texts.append(np.frombuffer(text, dtype="<u2"))
                 held += -(-len(texts[-1]) // stride)
-                if held >= 16 * BATCH:  # some documents at once, mixed
-                    seen += learn(texts, seen)
-                    texts, held = [], 0
-        seen += learn(texts, seen)
-        if seen:
-            flat = _flat(p).astype("<f4")
-            blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
-            n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int64()), pa.array([seen] * n, pa.int64()), pa.array(blocks, pa.binary())], names=["block", "task", "n", "w"])
+            if text is None or held >= 16 * BATCH:  # some documents at once, mixed
+                seen += learn()
+                texts, held = [], 0
+            return p, seen
+
+        return take
+
+    def reached(shard: int, p: dict[str, np.ndarray], seen: int) -> pa.RecordBatch:
+        flat = _flat(p).astype("<f4")
+        blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+        n = len(blocks) if seen else 0
+        return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([shard] * n, pa.int64()), pa.array([seen] * n, pa.int64()), pa.array(blocks[:n], pa.binary())], names=["block", "shard", "n", "w"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, take = None, None
+        for batch in batches:
+            for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shard != now:
+                    if take:
+                        yield reached(now, *take(None))
+                    now, take = shard, learner(shard)
+                take(raw)
+        if take:
+            yield reached(now, *take(None))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}  # a block at a time is in sight, and all blocks are bounded
@@ -276,52 +430,68 @@ def train_round(encoded: DataFrame, p: dict[str, np.ndarray], vocab: Vocabulary,
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(x / n).astype("<f4").tobytes() for n, x in sums.values()], pa.binary())], names=["block", "w"])
 
-    reached = encoded.select("ids").mapInArrow(train, "block int, task long, n long, w binary")
-    sums = reached.repartition("block").sortWithinPartitions("block", "task").mapInArrow(add, "block int, w binary")
+    key = F.xxhash64("doc_id", "ids")
+    dealt = encoded.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), "ids", key.alias("key"))
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "ids").select("shard", "ids")
+    sums = dealt.mapInArrow(train, "block int, shard long, n long, w binary")
+    sums = sums.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(add, "block int, w binary")
     got = {r["block"]: np.frombuffer(r["w"], dtype="<f4") for r in sums.collect()}  # the weights, once
     return _shaped(np.concatenate([got[i] for i in sorted(got)]), p) if got else p
 
 
 class Scorer:
-    """Conditional log-probabilities; the first layer is summed from tables of embedded ids."""
+    """Conditional log-probabilities of members; the first layer is summed from tables of embedded ones."""
 
-    def __init__(self, p: dict[str, np.ndarray], vocab_cls: np.ndarray, share: np.ndarray):
+    def __init__(self, p: dict[str, np.ndarray], vocab: Vocabulary):
         self.tables = [p["e"] @ p["w"][i * DIM : (i + 1) * DIM] for i in range(2 * SIDE)]
-        self.p, self.cls, self.share = p, vocab_cls, share
+        self.tables[0] += p["b"]
+        self.p, self.vocab = p, vocab
 
     def log_probabilities(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """For each text's ids, their log-probabilities."""
-        ids, first = joined(texts)
+        """For each text's members, their log-probabilities."""
+        ids, first = joined(texts, self.vocab.edge)
         size = [len(x) for x in texts]
         place = np.concatenate([np.arange(a, a + n) for a, n in zip(first.tolist(), size, strict=True)]) if texts else first
         out = np.empty(len(place), dtype=np.float32)
-        for a in range(0, len(place), POSITIONS):
-            at = place[a : a + POSITIONS]
-            x, y = contexts(ids, at), ids[at]
-            hid = self.tables[0][x[:, 0]] + self.p["b"]
-            for i in range(1, 2 * SIDE):
-                hid += self.tables[i][x[:, i]]
+
+        def log(h: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
+            _, at, total = exponents(h, weights, own)
+            return at - np.log(total)
+
+        for begin in range(0, len(place), BATCH):
+            at = place[begin : begin + BATCH]
+            y = ids[at]
+            kind, got = self.vocab.cls[y], out[begin : begin + BATCH]
+            hid = self.tables[0].take(ids[at - SIDE], axis=0)
+            for i, o in enumerate([o for o in range(-SIDE, SIDE + 1) if o][1:], 1):
+                hid += self.tables[i].take(ids[at + o], axis=0)
             np.maximum(hid, 0, out=hid)
-            logits = hid @ self.p["u"]
-            logits += self.p["c"]
-            own = logits[np.arange(len(at)), self.cls[y]]
-            out[a : a + POSITIONS] = own - log_sum(logits) + self.share[y]
+            for a in range(0, len(at), POSITIONS):
+                got[a : a + POSITIONS] = log(hid[a : a + POSITIONS], self.p["u"], kind[a : a + POSITIONS])
+            rows, parts = by_class(kind)
+            near, member = hid.take(rows, axis=0), y[rows]
+            more = np.empty(len(rows), dtype=np.float32)
+            for c, a, b in parts:
+                low, high = self.vocab.low[c], self.vocab.low[c + 1]
+                more[a:b] = log(near[a:b], self.p["v"][low:high].T, member[a:b] - low)
+            got[rows] += more
         return np.split(out, np.cumsum(size)[:-1]) if texts else []
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[Vocabulary, dict[str, np.ndarray], DataFrame]:
+def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, shard: int = SHARD) -> tuple[Vocabulary, dict[str, np.ndarray], DataFrame]:
     """(vocabulary, weights, encoded documents), from all documents."""
-    vocab = vocabulary(docs)
-    encoded = materialize(encode(docs, vocab), "encoded")
+    slices = materialize(slice_tokens(docs), "slices")
+    vocab = vocabulary(slices)
+    encoded = materialize(encode(slices, vocab), "encoded")
     p = start(vocab)
     for r in range(rounds):
-        p = train_round(encoded, p, vocab, r, stride)
+        p = train_round(encoded, p, vocab, r, stride, shard)
     return vocab, p, encoded
 
 
 def score(encoded: DataFrame, vocab: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_prob, perplexity) of encoded documents."""
-    shared = encoded.sparkSession.sparkContext.broadcast((p, vocab.cls, vocab.share))  # of fixed size
+    shared = encoded.sparkSession.sparkContext.broadcast((p, vocab))  # of bounded size
     kind = encoded.schema["doc_id"]
     schema = T.StructType([kind, T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("log_likelihood", "mean_log_prob", "perplexity"))])
 
@@ -332,11 +502,11 @@ def score(encoded: DataFrame, vocab: Vocabulary, p: dict[str, np.ndarray]) -> Da
                 batch = whole.slice(at, SLICE_ROWS)
                 texts = [np.frombuffer(raw, dtype="<u2") for raw in batch.column(1).to_pylist()]
                 n = [len(x) for x in texts]
-                total = [float(x.sum(dtype=np.float64)) if len(x) else 0.0 for x in scorer.log_probabilities(texts)]
+                total = [float(x.sum(dtype=np.float64)) + own if len(x) else 0.0 for x, own in zip(scorer.log_probabilities(texts), batch.column(2).to_pylist(), strict=True)]
                 mean = [t / max(k, 1) for t, k in zip(total, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64()), pa.array([math.exp(min(-m, 700.0)) for m in mean], pa.float64())], names=schema.names)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+    return encoded.select("doc_id", "ids", "own").mapInArrow(run, schema)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
