@@ -46,7 +46,7 @@ from lodestar.llm.common import SLICE_ROWS, materialize
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 #: Tokens that are predicted one by one; the most frequent of them are classes alone.
-WORDS, ALONE = 8192, 63
+WORDS, ALONE = 6144, 63
 #: Endings and beginnings that make the groups; as many classes as endings share the other words.
 ENDINGS, BEGINNINGS = 64, 16
 GROUPS = ENDINGS * BEGINNINGS
