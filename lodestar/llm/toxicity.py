@@ -144,27 +144,22 @@ def _counts(df: DataFrame, only: frozenset | None) -> DataFrame:
     return df.select("text", "part").mapInArrow(run, "token string, part long, n long, docs long").groupBy("token").agg(*sums)
 
 
-def _by_part(rows: DataFrame) -> dict[str, np.ndarray]:
-    """Token to its occurrences and documents, a row for each."""
-    return {r[0]: np.array(r[1:]).reshape(PARTS, 2).T for r in rows.collect()}
-
-
-def _lexicon(toxic: dict[str, np.ndarray], clean: dict[str, np.ndarray], parts: list[int]) -> dict[str, float]:
-    """Entries and their scores, from the given parts."""
-    none = np.zeros((2, PARTS), dtype=np.int64)
-    total = [int(x.get("", none)[0, parts].sum()) for x in (clean, toxic)]
-    scored = []
-    for token, found in toxic.items():
-        y, y_docs = found[:, parts].sum(axis=1).tolist()
-        if not token or y_docs < LEAST:
-            continue
-        m, m_docs = clean.get(token, none)[:, parts].sum(axis=1).tolist()
-        a = max(0.5, PRIOR * (y + m) / max(sum(total), 1))
-        delta = math.log((y + a) / max(total[1] - y + 1, 1)) - math.log((m + a) / max(total[0] - m + 1, 1))
-        bound = delta - ERRORS * math.sqrt(1 / (y_docs + 0.5) + 1 / (m_docs + 0.5))  # occurrences in a document go together
-        if bound >= BOUND:
-            scored.append((min(bound, MOST), token))
-    return {t: b for b, t in sorted(scored, reverse=True)[:LEXICON]}
+def _by_part(rows: DataFrame) -> dict[str, list[int]]:
+    """Token to its occurrences and documents by part."""
+    return {r[0]: list(r[1:]) for r in rows.collect()}
+
+
+def _lexicon(tokens: list[str], toxic: np.ndarray, clean: np.ndarray, total: np.ndarray, parts: list[int]) -> dict[str, float]:
+    """Entries and their scores, from the given parts of (token, part, occurrences or documents) counts and
+    of the (label, part) occurrences of all features."""
+    (y, y_docs), (m, m_docs) = (x[:, parts].sum(axis=1).T.astype(float) for x in (toxic, clean))
+    none, every = total[:, parts].sum(axis=1).astype(float)
+    a = np.maximum(0.5, PRIOR * (y + m) / max(none + every, 1))
+    delta = np.log((y + a) / np.maximum(every - y + 1, 1)) - np.log((m + a) / np.maximum(none - m + 1, 1))
+    bound = delta - ERRORS * np.sqrt(1 / (y_docs + 0.5) + 1 / (m_docs + 0.5))  # occurrences in a document go together
+    keep = np.flatnonzero((y_docs >= LEAST) & (bound >= BOUND))
+    scored = sorted(((min(float(bound[i]), MOST), tokens[i]) for i in keep), reverse=True)
+    return {t: b for b, t in scored[:LEXICON]}
 
 
 def _lambda(hits: list[float], tokens: int) -> float:
@@ -201,11 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, sampl
     docs_of = sum(F.col(f"docs_{k}") for k in range(PARTS))
     toxic = _by_part(counts.filter(docs_of >= LEAST).orderBy(docs_of.desc(), "token").limit(10 * LEXICON))
     clean = _by_part(_counts(rows.filter("toxic = 0"), frozenset(toxic)))  # no more tokens than toxic has
-    toxic |= _by_part(counts.filter("token = ''"))
-    every = list(range(PARTS))
-    lexicon = _lexicon(toxic, clean, every)
+    none, every = [0] * 2 * PARTS, list(range(PARTS))
+    total = np.array([found.get("", none) for found in (clean, _by_part(counts.filter("token = ''")))]).reshape(2, PARTS, 2)[:, :, 0]
+    tokens = list(toxic)
+    by = [np.array([x.get(t, none) for t in tokens]).reshape(len(tokens), PARTS, 2) for x in (toxic, clean)]
+    lexicon = _lexicon(tokens, *by, total, every)
     # the others of each part, so that no document is judged by what it taught
-    shared = docs.sparkSession.sparkContext.broadcast([_lexicon(toxic, clean, [x for x in every if x != k]) for k in every])
+    shared = docs.sparkSession.sparkContext.broadcast([_lexicon(tokens, *by, total, [x for x in every if x != k]) for k in every])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos = [Memo(x) for x in shared.value]
