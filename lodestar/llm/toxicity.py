@@ -40,7 +40,7 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE, LEXICON, MEMO = 6_000, 20_000, 300_000
 PREFIXES = (4, 5, 6, 7)
 #: Least bound and least toxic documents of an entry, prior occurrences, cost of another token.
-BOUND, LEAST, PRIOR, GAP = 1.0, 5, 10.0, 0.02
+BOUND, LEAST, PRIOR, GAP = 2.0, 5, 10.0, 0.02
 #: Standard errors between a log-odds and its bound; the greatest score of an entry.
 ERRORS, MOST = 1.28, 10.0
 #: Parts of the sample, by the ids' hash: each calibrates by what the others teach.
