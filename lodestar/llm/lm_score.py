@@ -56,8 +56,8 @@ KNOWN, EXACT, STEPS = 1_000_000, 1024, 16
 #: Tokens on each side, and the widths of the layers; the last of the hidden one is always one.
 SIDE, DIM, HIDDEN = 2, 8, 16
 ROUNDS, STRIDE, BATCH, RATE = 2, 2, 8192, 0.3
-#: Tokens of a shard on average, and of a slice at most but for its last text.
-SHARD, SLICE = 2_000_000, 400_000
+#: Tokens of a shard on average, and runs between white space in a slice at most but for its last text.
+SHARD, SLICE = 2_000_000, 200_000
 #: Entries of a partial count and of a worker's memo; weights in a block; positions in one product.
 COUNTS, MEMO, BLOCK, POSITIONS = 1_000_000, 300_000, 4096, 1024
 
@@ -84,25 +84,35 @@ class Codes(dict):
 
 
 def slice_tokens(docs: DataFrame) -> DataFrame:
-    """Slices of some documents: their ids and lengths, the codes and counts of their distinct tokens, and
-    all tokens as places among those, of 16 bits if they suffice, else 32; binaries of little-endian numbers."""
+    """Slices of some documents: their ids and numbers of tokens, the codes of their distinct tokens, and all
+    tokens as places among those, of 16 bits if they suffice, else 32; binaries of little-endian numbers."""
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("docs", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "codes", "counts", "places"))])
+    schema = T.StructType([T.StructField("docs", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "codes", "places"))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema, prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Codes()
-        ids, texts, held = [], [], 0
+        ids: list = []
+        texts: list[np.ndarray] = []  # by numbers of the runs between white space
+        held, number = 0, defaultdict(count().__next__)
 
         def cut() -> pa.RecordBatch:
+            # no token spans white space, so each distinct run is taken apart once
             place: defaultdict = defaultdict(count().__next__)
-            flat = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), dtype="<u4", count=held)
+            parts = [[x] if x.isalnum() else TOKEN.findall(x) for x in number]
+            inside = np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), dtype="<u4")
+            length = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+            runs = np.concatenate(texts)
+            many = length[runs]
+            end = np.cumsum(many)
+            begin = (np.cumsum(length) - length)[runs] - (end - many)
+            flat = inside[np.repeat(begin, many) + np.arange(int(many.sum()))]
+            ends = np.concatenate([[0], end])[np.cumsum([len(x) for x in texts])]  # of the texts
             columns = [
-                np.array(list(map(len, texts)), dtype="<u4"),
+                np.diff(ends, prepend=0).astype("<u4"),
                 np.fromiter(map(memo.__getitem__, place), dtype="<i8", count=len(place)),
-                np.bincount(flat, minlength=len(place)).astype("<u4"),
                 flat.astype("<u2") if len(place) <= 1 << 16 else flat,
             ]
             return pa.RecordBatch.from_arrays([pa.array([ids], type=arrow.field(0).type), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], schema=arrow)
@@ -111,18 +121,25 @@ def slice_tokens(docs: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 part = whole.slice(at, SLICE_ROWS)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words = (text or "").lower().split()
                     ids.append(doc)
-                    texts.append(tokens(text))
-                    held += len(texts[-1])
+                    texts.append(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)))
+                    held += len(words)
                     if held >= SLICE or len(ids) >= 4 * SLICE_ROWS:
                         yield cut()
-                        ids, texts, held = [], [], 0
+                        ids, texts, held, number = [], [], 0, defaultdict(count().__next__)
         if ids:
             yield cut()
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def placed(codes: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's codes, and its tokens as places among them."""
+    c = np.frombuffer(codes, dtype="<i8")
+    return c, np.frombuffer(places, dtype="<u2" if len(c) <= 1 << 16 else "<u4")
+
+
 def count_tokens(slices: DataFrame) -> DataFrame:
     """(code, n) over all documents, summed in each task before the shuffle."""
 
@@ -137,10 +154,11 @@ def count_tokens(slices: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], names=["code", "n"])
 
         for part in batches:
-            for c, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                codes.append(np.frombuffer(c, dtype="<i8"))
-                counts.append(np.frombuffer(n, dtype="<u4"))
-                held += len(codes[-1])
+            for row in range(part.num_rows):
+                c, places = placed(part.column(0)[row].as_py(), part.column(1)[row].as_py())
+                codes.append(c)
+                counts.append(np.bincount(places, minlength=len(c)))
+                held += len(c)
                 if held >= COUNTS:
                     kinds, total = merged()
                     codes, counts, held = [kinds], [total], len(kinds)
@@ -150,7 +168,7 @@ def count_tokens(slices: DataFrame) -> DataFrame:
         if held:
             yield batch(*merged())
 
-    return slices.select("codes", "counts").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return slices.select("codes", "places").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -237,8 +255,8 @@ def encode(slices: DataFrame, vocab: Vocabulary) -> DataFrame:
         vocab = shared.value
         for some in batches:
             for row in range(some.num_rows):
-                sizes, codes, places = (np.frombuffer(some.column(c)[row].as_py(), dtype=t) for c, t in (("sizes", "<u4"), ("codes", "<i8"), ("places", "<u1")))
-                places = places.view("<u2" if len(codes) <= 1 << 16 else "<u4")
+                sizes = np.frombuffer(some.column("sizes")[row].as_py(), dtype="<u4")
+                codes, places = placed(some.column("codes")[row].as_py(), some.column("places")[row].as_py())
                 member, share = vocab.look_up(codes)
                 cut = np.cumsum(sizes)
                 ids = np.split(member[places].astype("<u2"), cut[:-1])
@@ -279,22 +297,26 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([ids[at + o] for o in range(-SIDE, SIDE + 1) if o], axis=1)
 
 
-def exponents(h: np.ndarray, weights: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exponentials of ``h @ weights``; row-wise the logits at ``own`` and the sums, all alike shifted where
-    single precision does not reach."""
-    rows = np.arange(len(own))
+def exponents(h: np.ndarray, weights: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Exponentials of ``h @ weights``, their row-wise sums and the sums' inverses, and the logits at ``own`` if
+    it is given, all alike shifted where single precision does not reach. Overflows are the caller's to silence."""
     logits = h @ weights
-    at = logits[rows, own]
-    with np.errstate(over="ignore", under="ignore"):
-        np.exp(logits, out=logits)
+    at = None if own is None else logits[np.arange(len(own)), own]
+    np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], dtype=logits.dtype)
-    if not (float(total.min(initial=1)) > 1e-30 and float(total.max(initial=1)) < 1e30):
+    inverse = 1 / total
+    if not float(total @ inverse) < len(total) + 1:  # one of them is zero or infinite
         logits = h @ weights
         logits -= logits.max(axis=1)[:, None]
-        at = logits[rows, own]
+        at = None if own is None else logits[np.arange(len(own)), own]
         np.exp(logits, out=logits)
         total = logits.sum(axis=1)
-    return logits, at, total
+        inverse = 1 / total
+    return logits, total, inverse, at
+
+
+#: What single precision does not reach is seen in the sums.
+QUIET = {"over": "ignore", "under": "ignore", "divide": "ignore", "invalid": "ignore"}
 
 
 def by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -305,9 +327,11 @@ def by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return order[first:], [(c, int(cut[c]) - first, int(cut[c + 1]) - first) for c in range(ALONE, CLASSES) if cut[c] < cut[c + 1]]
 
 
-def step(p: dict[str, np.ndarray], state: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, vocab: Vocabulary) -> float:
-    """One Adagrad step on a batch; the mean loss before it."""
+@np.errstate(**QUIET)
+def step(p: dict[str, np.ndarray], state: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, vocab: Vocabulary, tell: bool = False) -> float:
+    """One Adagrad step on a batch; the mean loss before it if ``tell``."""
     n, kind = len(y), vocab.cls[y]
+    share = np.float32(1 / n) if p["e"].dtype == np.float32 else 1 / n
     emb = p["e"].take(x, axis=0).reshape(n, -1)
     hid = emb @ p["w"]
     hid += p["b"]
@@ -319,10 +343,12 @@ def step(p: dict[str, np.ndarray], state: dict[str, np.ndarray], x: np.ndarray,
     def softmax(h: np.ndarray, weights: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of the logits but for a factor of each row, and the factors."""
         nonlocal loss
-        out, at, total = exponents(h, weights, own)
-        loss += float((np.log(total) - at).sum()) / n
+        out, total, inverse, at = exponents(h, weights, own if tell else None)
+        if tell:
+            loss += float((np.log(total) - at).sum()) / n
         out[np.arange(len(own)), own] -= total
-        return out, (1 / (n * total))[:, None].astype(out.dtype)
+        inverse *= share
+        return out, inverse[:, None]
 
     for a in range(0, n, POSITIONS):  # the classes
         h, some = hid[a : a + POSITIONS], back[a : a + POSITIONS]
@@ -447,6 +473,7 @@ class Scorer:
         self.tables[0] += p["b"]
         self.p, self.vocab = p, vocab
 
+    @np.errstate(**QUIET)
     def log_probabilities(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """For each text's members, their log-probabilities."""
         ids, first = joined(texts, self.vocab.edge)
@@ -455,7 +482,7 @@ class Scorer:
         out = np.empty(len(place), dtype=np.float32)
 
         def log(h: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
-            _, at, total = exponents(h, weights, own)
+            _, total, _, at = exponents(h, weights, own)
             return at - np.log(total)
 
         for begin in range(0, len(place), BATCH):
