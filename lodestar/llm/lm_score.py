@@ -32,11 +32,12 @@ import math
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +59,8 @@ SIDE, DIM, HIDDEN = 2, 8, 16
 ROUNDS, STRIDE, BATCH, RATE = 2, 2, 8192, 0.3
 #: Tokens of a shard on average, and runs between white space in a slice at most but for its last text.
 SHARD, SLICE = 2_000_000, 200_000
-#: Entries of a partial count and of a worker's memo; weights in a block; positions in one product.
-COUNTS, MEMO, BLOCK, POSITIONS = 1_000_000, 300_000, 4096, 1024
+#: Entries of a partial count; weights in a block; positions in one product, and scored at once.
+COUNTS, BLOCK, POSITIONS, SCORED = 1_000_000, 4096, 1024, 32768
 
 
 def tokens(text: str | None) -> list[str]:
@@ -73,13 +74,20 @@ def code(token: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-class Codes(dict):
-    """Token to code; emptied when full."""
+def codes_of(tokens: list[str]) -> np.ndarray:
+    """The codes of many tokens."""
+    n = len(tokens)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=n).view(np.int64)
+    sums = Sums()
+    endings, beginnings = (np.fromiter((sums[t[part]] for t in tokens), dtype=np.int64, count=n) for part in (slice(-2, None), slice(2)))
+    return (hashes & -GROUPS) | (endings % ENDINGS * BEGINNINGS + beginnings % BEGINNINGS)
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[token] = c = code(token)
+
+class Sums(dict):
+    """The CRC-32 of each text."""
+
+    def __missing__(self, text: str) -> int:
+        self[text] = c = zlib.crc32(text.encode())
         return c
 
 
@@ -93,26 +101,27 @@ def slice_tokens(docs: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema, prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Codes()
         ids: list = []
-        texts: list[np.ndarray] = []  # by numbers of the runs between white space
-        held, number = 0, defaultdict(count().__next__)
+        texts: list[pa.Array] = []  # lists of the runs between white space
+        held = 0
 
         def cut() -> pa.RecordBatch:
             # no token spans white space, so each distinct run is taken apart once
+            kinds = pa.concat_arrays([x.flatten() for x in texts]).dictionary_encode()
+            runs = kinds.indices.to_numpy()
             place: defaultdict = defaultdict(count().__next__)
-            parts = [[x] if x.isalnum() else TOKEN.findall(x) for x in number]
+            parts = [[x] if x.isalnum() else TOKEN.findall(x) for x in kinds.dictionary.to_numpy(zero_copy_only=False).tolist()]
             inside = np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), dtype="<u4")
             length = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-            runs = np.concatenate(texts)
             many = length[runs]
             end = np.cumsum(many)
             begin = (np.cumsum(length) - length)[runs] - (end - many)
             flat = inside[np.repeat(begin, many) + np.arange(int(many.sum()))]
-            ends = np.concatenate([[0], end])[np.cumsum([len(x) for x in texts])]  # of the texts
+            size = np.concatenate([x.value_lengths().to_numpy() for x in texts])
+            ends = np.concatenate([[0], end])[np.cumsum(size)]  # of the texts
             columns = [
                 np.diff(ends, prepend=0).astype("<u4"),
-                np.fromiter(map(memo.__getitem__, place), dtype="<i8", count=len(place)),
+                codes_of(list(place)).astype("<i8"),
                 flat.astype("<u2") if len(place) <= 1 << 16 else flat,
             ]
             return pa.RecordBatch.from_arrays([pa.array([ids], type=arrow.field(0).type), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], schema=arrow)
@@ -120,14 +129,20 @@ def slice_tokens(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 part = whole.slice(at, SLICE_ROWS)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = (text or "").lower().split()
-                    ids.append(doc)
-                    texts.append(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)))
-                    held += len(words)
-                    if held >= SLICE or len(ids) >= 4 * SLICE_ROWS:
+                docs = part.column(0).to_pylist()
+                # str.lower() knows special cases that Arrow's does not; runs may be empty, and then hold no token
+                runs = pc.utf8_split_whitespace(pa.array([(x or "").lower() for x in part.column(1).to_pylist()], pa.large_string()))
+                begin = 0
+                for end, n in enumerate(runs.value_lengths().to_pylist(), 1):
+                    held += n
+                    if held >= SLICE or len(ids) + end - begin >= 4 * SLICE_ROWS:
+                        ids += docs[begin:end]
+                        texts.append(runs.slice(begin, end - begin))
                         yield cut()
-                        ids, texts, held, number = [], [], 0, defaultdict(count().__next__)
+                        ids, texts, held, begin = [], [], 0, end
+                if begin < len(docs):
+                    ids += docs[begin:]
+                    texts.append(runs.slice(begin))
         if ids:
             yield cut()
 
@@ -300,13 +315,18 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 def exponents(h: np.ndarray, weights: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     """Exponentials of ``h @ weights``, their row-wise sums and the sums' inverses, and the logits at ``own`` if
     it is given, all alike shifted where single precision does not reach. Overflows are the caller's to silence."""
-    logits = h @ weights
+    return exponents_of(lambda: h @ weights, own)
+
+
+def exponents_of(make: Callable[[], np.ndarray], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """The same of logits that ``make`` makes anew at each call."""
+    logits = make()
     at = None if own is None else logits[np.arange(len(own)), own]
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], dtype=logits.dtype)
     inverse = 1 / total
     if not float(total @ inverse) < len(total) + 1:  # one of them is zero or infinite
-        logits = h @ weights
+        logits = make()
         logits -= logits.max(axis=1)[:, None]
         at = None if own is None else logits[np.arange(len(own)), own]
         np.exp(logits, out=logits)
@@ -327,6 +347,27 @@ def by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return order[first:], [(c, int(cut[c]) - first, int(cut[c + 1]) - first) for c in range(ALONE, CLASSES) if cut[c] < cut[c + 1]]
 
 
+def together(parts: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Parts of :func:`by_class` in groups of POSITIONS rows, but for the last part of each."""
+    some: list = []
+    for part in parts:
+        some.append(part)
+        if part[2] - some[0][1] >= POSITIONS:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
+def inner_logits(near: np.ndarray, v: np.ndarray, low: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """Logits of the members of each row's class, which begin its row; the others are minus infinity."""
+    first = parts[0][1]
+    out = np.full((parts[-1][2] - first, max(int(low[c + 1] - low[c]) for c, _, _ in parts)), -np.inf, dtype=near.dtype)
+    for c, a, b in parts:
+        np.matmul(near[a:b], v[low[c] : low[c + 1]].T, out=out[a - first : b - first, : low[c + 1] - low[c]])
+    return out
+
+
 @np.errstate(**QUIET)
 def step(p: dict[str, np.ndarray], state: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, vocab: Vocabulary, tell: bool = False) -> float:
     """One Adagrad step on a batch; the mean loss before it if ``tell``."""
@@ -340,10 +381,10 @@ def step(p: dict[str, np.ndarray], state: dict[str, np.ndarray], x: np.ndarray,
     grads = {"u": np.zeros_like(p["u"]), "v": np.zeros_like(p["v"])}
     loss = 0.0
 
-    def softmax(h: np.ndarray, weights: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def softmax(make: Callable[[], np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of the logits but for a factor of each row, and the factors."""
         nonlocal loss
-        out, total, inverse, at = exponents(h, weights, own if tell else None)
+        out, total, inverse, at = exponents_of(make, own if tell else None)
         if tell:
             loss += float((np.log(total) - at).sum()) / n
         out[np.arange(len(own)), own] -= total
@@ -352,20 +393,24 @@ def step(p: dict[str, np.ndarray], state: dict[str, np.ndarray], x: np.ndarray,
 
     for a in range(0, n, POSITIONS):  # the classes
         h, some = hid[a : a + POSITIONS], back[a : a + POSITIONS]
-        out, factor = softmax(h, p["u"], kind[a : a + POSITIONS])
+        out, factor = softmax(lambda h=h: h @ p["u"], kind[a : a + POSITIONS])
         np.matmul(out, p["u"].T, out=some)
         some *= factor
         grads["u"] += (h * factor).T @ out
     rows, parts = by_class(kind)
     near, member = hid.take(rows, axis=0), y[rows]
     deep = np.empty_like(near)
-    for c, a, b in parts:  # the members of each class
-        low, high = vocab.low[c], vocab.low[c + 1]
-        v, h, some = p["v"][low:high], near[a:b], deep[a:b]
-        out, factor = softmax(h, v.T, member[a:b] - low)
-        np.matmul(out, v, out=some)
-        some *= factor
-        np.matmul(out.T, h * factor, out=grads["v"][low:high])
+    own = member - vocab.low[kind[rows]]
+    for group in together(parts):  # the members of some classes
+        first, last = group[0][1], group[-1][2]
+        out, factor = softmax(lambda group=group: inner_logits(near, p["v"], vocab.low, group), own[first:last])
+        h = near[first:last] * factor
+        for c, a, b in group:
+            low, high = vocab.low[c], vocab.low[c + 1]
+            some = out[a - first : b - first, : high - low]
+            np.matmul(some, p["v"][low:high], out=deep[a:b])
+            np.matmul(some.T, h[a - first : b - first], out=grads["v"][low:high])
+        deep[first:last] *= factor
     back[rows] += deep
     back *= hid > 0
     back[:, -1] = 0
@@ -481,26 +526,27 @@ class Scorer:
         place = np.concatenate([np.arange(a, a + n) for a, n in zip(first.tolist(), size, strict=True)]) if texts else first
         out = np.empty(len(place), dtype=np.float32)
 
-        def log(h: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
-            _, total, _, at = exponents(h, weights, own)
+        def log(make: Callable[[], np.ndarray], own: np.ndarray) -> np.ndarray:
+            _, total, _, at = exponents_of(make, own)
             return at - np.log(total)
 
-        for begin in range(0, len(place), BATCH):
-            at = place[begin : begin + BATCH]
+        for begin in range(0, len(place), SCORED):
+            at = place[begin : begin + SCORED]
             y = ids[at]
-            kind, got = self.vocab.cls[y], out[begin : begin + BATCH]
+            kind, got = self.vocab.cls[y], out[begin : begin + SCORED]
             hid = self.tables[0].take(ids[at - SIDE], axis=0)
             for i, o in enumerate([o for o in range(-SIDE, SIDE + 1) if o][1:], 1):
                 hid += self.tables[i].take(ids[at + o], axis=0)
             np.maximum(hid, 0, out=hid)
             for a in range(0, len(at), POSITIONS):
-                got[a : a + POSITIONS] = log(hid[a : a + POSITIONS], self.p["u"], kind[a : a + POSITIONS])
+                got[a : a + POSITIONS] = log(lambda a=a: hid[a : a + POSITIONS] @ self.p["u"], kind[a : a + POSITIONS])
             rows, parts = by_class(kind)
             near, member = hid.take(rows, axis=0), y[rows]
             more = np.empty(len(rows), dtype=np.float32)
-            for c, a, b in parts:
-                low, high = self.vocab.low[c], self.vocab.low[c + 1]
-                more[a:b] = log(near[a:b], self.p["v"][low:high].T, member[a:b] - low)
+            own = member - self.vocab.low[kind[rows]]
+            for group in together(parts):
+                first, last = group[0][1], group[-1][2]
+                more[first:last] = log(lambda group=group: inner_logits(near, self.p["v"], self.vocab.low, group), own[first:last])
             got[rows] += more
         return np.split(out, np.cumsum(size)[:-1]) if texts else []
 

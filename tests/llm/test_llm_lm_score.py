@@ -203,3 +203,26 @@ def test_every_token_is_a_target_once(spark, tmp_path, monkeypatch):
     for r in range(lm_score.ROUNDS):
         p = lm_score.train_round(encoded, p, vocab, r)
     assert sorted(map(int, seen.read_text().split())) == sorted(np.concatenate(texts).tolist())
+
+
+def test_classes_share_products_and_codes_are_made_at_once(monkeypatch):
+    """A step and a score call for exponents by groups of classes, not one by one; numbers are as before."""
+    vocab, p, ids = toy(8000)
+    calls = []
+    whole = lm_score.exponents_of
+    monkeypatch.setattr(lm_score, "exponents_of", lambda make, own=None: calls.append(1) or whole(make, own))
+    at = np.arange(2, 7002)
+    lm_score.step({k: v.copy() for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, lm_score.contexts(ids, at), ids[at], vocab)
+    assert len(calls) <= 2 * -(-7000 // lm_score.POSITIONS)
+    calls.clear()
+    lm_score.Scorer(p, vocab).log_probabilities([ids])
+    assert len(calls) <= 2 * -(-8000 // lm_score.POSITIONS)
+    order, parts = lm_score.by_class(vocab.cls[ids])
+    assert [x for some in lm_score.together(parts) for x in some] == parts
+    near = np.random.default_rng(3).normal(size=(len(order), lm_score.HIDDEN)).astype(np.float32)
+    got = lm_score.inner_logits(near, p["v"], vocab.low, parts)
+    for c, a, b in parts:
+        low, high = vocab.low[c], vocab.low[c + 1]
+        assert np.allclose(got[a:b, : high - low], near[a:b] @ p["v"][low:high].T, atol=1e-4) and np.isneginf(got[a:b, high - low :]).all()
+    tokens = ["", "a", "é", "the", "'", "🙂漢x", "i̇stanbul"]
+    assert lm_score.codes_of(tokens).tolist() == [lm_score.code(t) for t in tokens] and not len(lm_score.codes_of([]))
