@@ -31,9 +31,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +44,8 @@ from pyspark.sql import types as T
 from lodestar.llm.common import SLICE_ROWS, materialize
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
+#: The same, and a mark that stands between runs, which hold no line ends.
+MARKED = re.compile(rf"{TOKEN.pattern}|\n")
 #: Tokens that are predicted one by one; the most frequent of them are classes alone.
 WORDS, ALONE = 6144, 63
 #: Endings and beginnings that make the groups; as many classes as endings share the other words.
@@ -74,21 +74,43 @@ def code(token: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def codes_of(tokens: list[str]) -> np.ndarray:
-    """The codes of many tokens."""
-    n = len(tokens)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=n).view(np.int64)
-    sums = Sums()
-    endings, beginnings = (np.fromiter((sums[t[part]] for t in tokens), dtype=np.int64, count=n) for part in (slice(-2, None), slice(2)))
-    return (hashes & -GROUPS) | (endings % ENDINGS * BEGINNINGS + beginnings % BEGINNINGS)
-
+def strings(a: pa.Array) -> list[str]:
+    """What to_pylist() gives for strings without nulls, sooner."""
+    return a.to_numpy(zero_copy_only=False).tolist()
 
-class Sums(dict):
-    """The CRC-32 of each text."""
 
-    def __missing__(self, text: str) -> int:
-        self[text] = c = zlib.crc32(text.encode())
-        return c
+def codes_of(tokens: list[str] | pa.Array) -> np.ndarray:
+    """The codes of many tokens."""
+    if not isinstance(tokens, pa.Array):
+        tokens = pa.array(tokens, pa.large_string())
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, strings(tokens)), dtype=np.uint64, count=len(tokens)).view(np.int64)
+
+    def sums(start: int, stop: int | None) -> np.ndarray:
+        """The CRC-32 of a part of each, taken of the distinct ones."""
+        parts = pc.utf8_slice_codeunits(tokens, start, stop).dictionary_encode()
+        return np.array([zlib.crc32(x.encode()) for x in strings(parts.dictionary)], dtype=np.int64).take(parts.indices.to_numpy())
+
+    return (hashes & -GROUPS) | (sums(-2, None) % ENDINGS * BEGINNINGS + sums(0, 2) % BEGINNINGS)
+
+
+def taken_apart(runs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of runs between white space, all their tokens as places among those, in some order
+    of runs, and where there each run begins and how many it has. What is ASCII letters and digits is one token
+    and skips the pattern, which takes all others in one call."""
+    whole = pc.ascii_is_alnum(runs)
+    is_whole = whole.to_numpy(zero_copy_only=False)
+    others = strings(runs.filter(pc.invert(whole)))
+    found = pa.array(MARKED.findall("\n".join(["", *others, ""]) if others else "\n"), runs.type)
+    kinds = pa.concat_arrays([found, runs.filter(whole)]).dictionary_encode()  # the mark is the first
+    at = kinds.indices.to_numpy()
+    length = np.ones(len(runs), dtype=np.int64)
+    length[~is_whole] = np.diff(np.flatnonzero(at[: len(found)] == 0)) - 1
+    inside = at[at > 0].astype("<u4") - np.uint32(1)
+    begin = np.empty(len(runs), dtype=np.int64)
+    many = length[~is_whole]
+    begin[~is_whole] = np.cumsum(many) - many
+    begin[is_whole] = int(many.sum()) + np.arange(len(runs) - len(many))
+    return kinds.dictionary.slice(1), inside, begin, length
 
 
 def slice_tokens(docs: DataFrame) -> DataFrame:
@@ -109,20 +131,18 @@ def slice_tokens(docs: DataFrame) -> DataFrame:
             # no token spans white space, so each distinct run is taken apart once
             kinds = pa.concat_arrays([x.flatten() for x in texts]).dictionary_encode()
             runs = kinds.indices.to_numpy()
-            place: defaultdict = defaultdict(count().__next__)
-            parts = [[x] if x.isalnum() else TOKEN.findall(x) for x in kinds.dictionary.to_numpy(zero_copy_only=False).tolist()]
-            inside = np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), dtype="<u4")
-            length = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-            many = length[runs]
+            distinct, inside, begin, length = taken_apart(kinds.dictionary)
+            many = length.take(runs)
             end = np.cumsum(many)
-            begin = (np.cumsum(length) - length)[runs] - (end - many)
-            flat = inside[np.repeat(begin, many) + np.arange(int(many.sum()))]
+            where = np.repeat(begin.take(runs) - (end - many), many)
+            where += np.arange(len(where))
+            flat = inside.take(where)
             size = np.concatenate([x.value_lengths().to_numpy() for x in texts])
             ends = np.concatenate([[0], end])[np.cumsum(size)]  # of the texts
             columns = [
                 np.diff(ends, prepend=0).astype("<u4"),
-                codes_of(list(place)).astype("<i8"),
-                flat.astype("<u2") if len(place) <= 1 << 16 else flat,
+                codes_of(distinct).astype("<i8"),
+                flat.astype("<u2") if len(distinct) <= 1 << 16 else flat,
             ]
             return pa.RecordBatch.from_arrays([pa.array([ids], type=arrow.field(0).type), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], schema=arrow)
 
@@ -234,7 +254,9 @@ class Vocabulary:
         group = codes & (GROUPS - 1)
         member, share = self.group_id[group], self.group_share[group]
         if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            by = np.argsort(codes)  # in order, searches are near each other
+            at = np.empty(len(codes), dtype=np.int64)
+            at[by] = np.minimum(np.searchsorted(self.codes, codes[by]), len(self.codes) - 1)
             known = self.codes[at] == codes
             member, share = np.where(known, self.member[at], member), np.where(known, self.share[at], share)
         return member, share
@@ -273,10 +295,12 @@ def encode(slices: DataFrame, vocab: Vocabulary) -> DataFrame:
                 sizes = np.frombuffer(some.column("sizes")[row].as_py(), dtype="<u4")
                 codes, places = placed(some.column("codes")[row].as_py(), some.column("places")[row].as_py())
                 member, share = vocab.look_up(codes)
-                cut = np.cumsum(sizes)
-                ids = np.split(member[places].astype("<u2"), cut[:-1])
-                own = [float(math.fsum(x)) for x in np.split(share[places], cut[:-1])]
-                yield pa.RecordBatch.from_arrays([some.column("docs")[row].values, pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(own, pa.float64())], schema=arrow)
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((2 * ends).astype("<i4").tobytes()), pa.py_buffer(member.astype("<u2").take(places).tobytes())])
+                own = np.zeros(len(sizes))
+                if len(places):  # a text without tokens has none of the sums
+                    own[sizes > 0] = np.add.reduceat(share.take(places), ends[:-1][sizes > 0])
+                yield pa.RecordBatch.from_arrays([some.column("docs")[row].values, ids, pa.array(own)], schema=arrow)
 
     return slices.select("docs", "sizes", "codes", "places").mapInArrow(run, schema)
 
@@ -309,7 +333,7 @@ def joined(texts: list[np.ndarray], edge: int) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Members on both sides of the places ``at`` of a joined array."""
-    return np.stack([ids[at + o] for o in range(-SIDE, SIDE + 1) if o], axis=1)
+    return np.stack([ids.take(at + o) for o in range(-SIDE, SIDE + 1) if o], axis=1)
 
 
 def exponents(h: np.ndarray, weights: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
@@ -335,16 +359,36 @@ def exponents_of(make: Callable[[], np.ndarray], own: np.ndarray | None = None)
     return logits, total, inverse, at
 
 
+class Room(dict):
+    """Arrays that are used again: memory that is given back and taken anew costs its pages each time."""
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: type | np.dtype) -> np.ndarray:
+        """An array with whatever was in it; the next of its name takes its place."""
+        size, kind = math.prod(shape), np.dtype(kind)
+        if (name, kind) not in self or self[name, kind].size < size:
+            self[name, kind] = np.empty(size, dtype=kind)
+        return self[name, kind][:size].reshape(shape)
+
+
+#: Of this process, whose steps and scores come one after another.
+ROOM = Room()
 #: What single precision does not reach is seen in the sums.
 QUIET = {"over": "ignore", "under": "ignore", "divide": "ignore", "invalid": "ignore"}
 
 
-def by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Rows of classes with several members in order, and (class, from, to) among them."""
+def in_classes(cls: np.ndarray) -> tuple[np.ndarray, int, list[tuple[int, int, int]]]:
+    """Rows in the order of their classes, the number of those in classes of one, which come first, and
+    (class, from, to) among the others."""
     order = np.argsort(cls.astype(np.uint8), kind="stable")
     cut = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
     first = int(cut[ALONE])
-    return order[first:], [(c, int(cut[c]) - first, int(cut[c + 1]) - first) for c in range(ALONE, CLASSES) if cut[c] < cut[c + 1]]
+    return order, first, [(c, int(cut[c]) - first, int(cut[c + 1]) - first) for c in range(ALONE, CLASSES) if cut[c] < cut[c + 1]]
+
+
+def by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows of classes with several members in order, and (class, from, to) among them."""
+    order, first, parts = in_classes(cls)
+    return order[first:], parts
 
 
 def together(parts: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
@@ -359,69 +403,93 @@ def together(parts: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
         yield some
 
 
-def inner_logits(near: np.ndarray, v: np.ndarray, low: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+def inner_logits(near: np.ndarray, v: np.ndarray, low: np.ndarray, parts: list[tuple[int, int, int]], room: Room | None = None) -> np.ndarray:
     """Logits of the members of each row's class, which begin its row; the others are minus infinity."""
     first = parts[0][1]
-    out = np.full((parts[-1][2] - first, max(int(low[c + 1] - low[c]) for c, _, _ in parts)), -np.inf, dtype=near.dtype)
+    shape = parts[-1][2] - first, max(int(low[c + 1] - low[c]) for c, _, _ in parts)
+    out = np.empty(shape, dtype=near.dtype) if room is None else room("inner", shape, near.dtype)
     for c, a, b in parts:
-        np.matmul(near[a:b], v[low[c] : low[c + 1]].T, out=out[a - first : b - first, : low[c + 1] - low[c]])
+        some = out[a - first : b - first]
+        np.matmul(near[a:b], v[low[c] : low[c + 1]].T, out=some[:, : low[c + 1] - low[c]])
+        some[:, low[c + 1] - low[c] :] = -np.inf
     return out
 
 
 @np.errstate(**QUIET)
 def step(p: dict[str, np.ndarray], state: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, vocab: Vocabulary, tell: bool = False) -> float:
     """One Adagrad step on a batch; the mean loss before it if ``tell``."""
-    n, kind = len(y), vocab.cls[y]
+    n, kind = len(y), vocab.cls.take(y)
+    order, first, parts = in_classes(kind)
+    x, y, kind = x.take(order, axis=0), y.take(order), kind.take(order)
     share = np.float32(1 / n) if p["e"].dtype == np.float32 else 1 / n
-    emb = p["e"].take(x, axis=0).reshape(n, -1)
-    hid = emb @ p["w"]
+    room = lambda name, *shape: ROOM(name, shape, p["e"].dtype)
+    emb = p["e"].take(x, axis=0, out=room("emb", n, 2 * SIDE, DIM), mode="clip").reshape(n, -1)
+    hid = np.matmul(emb, p["w"], out=room("hid", n, HIDDEN))
     hid += p["b"]
     np.maximum(hid, 0, out=hid)
-    back = np.empty_like(hid)
-    grads = {"u": np.zeros_like(p["u"]), "v": np.zeros_like(p["v"])}
+    # the constant of the hidden layer gets nothing back: in its place stands a one, by which a product sums
+    classes, members = p["u"].T.copy(), room("members", *p["v"].shape)
+    members[:, :-1] = p["v"][:, :-1]
+    classes[:, -1] = members[:, -1] = 1
+    grads = {"u": np.zeros_like(p["u"]), "v": room("v", *p["v"].shape)}
+    grads["v"].fill(0)
     loss = 0.0
 
-    def softmax(make: Callable[[], np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients of the logits but for a factor of each row, and the factors."""
+    def softmax(make: Callable[[], np.ndarray], own: np.ndarray, times: Callable[[np.ndarray, np.ndarray], None], back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the logits but for a factor of each row, and the factors; ``back`` gets the mean of
+        the members' weights. ``times`` puts the product with them, and ones, where it is told."""
         nonlocal loss
-        out, total, inverse, at = exponents_of(make, own if tell else None)
-        if tell:
-            loss += float((np.log(total) - at).sum()) / n
-        out[np.arange(len(own)), own] -= total
+        out = make()
+        np.exp(out, out=out)
+        times(out, back)
+        total = back[:, -1].copy()
+        inverse = 1 / total
+        if tell or not float(total @ inverse) < len(total) + 1:  # or one of them is zero or infinite
+            out, total, inverse, at = exponents_of(make, own)
+            times(out, back)
+            loss += float((np.log(total) - at).sum()) / n if tell else 0.0
         inverse *= share
+        back *= inverse[:, None]
+        flat, place = out.ravel(), np.arange(0, out.size, out.shape[1]) + own
+        flat[place] = flat.take(place) - total
         return out, inverse[:, None]
 
+    back = room("back", n, HIDDEN)
     for a in range(0, n, POSITIONS):  # the classes
-        h, some = hid[a : a + POSITIONS], back[a : a + POSITIONS]
-        out, factor = softmax(lambda h=h: h @ p["u"], kind[a : a + POSITIONS])
-        np.matmul(out, p["u"].T, out=some)
-        some *= factor
+        h = hid[a : a + POSITIONS]
+        out, factor = softmax(lambda h=h: np.matmul(h, p["u"], out=room("outer", len(h), CLASSES)), kind[a : a + POSITIONS], lambda out, to: np.matmul(out, classes, out=to), back[a : a + POSITIONS])
         grads["u"] += (h * factor).T @ out
-    rows, parts = by_class(kind)
-    near, member = hid.take(rows, axis=0), y[rows]
-    deep = np.empty_like(near)
-    own = member - vocab.low[kind[rows]]
+    back -= classes.take(kind, axis=0) * share
+    near, member = hid[first:], y[first:]
+    deep = room("deep", n - first, HIDDEN)
+    own = member - vocab.low.take(kind[first:])
     for group in together(parts):  # the members of some classes
-        first, last = group[0][1], group[-1][2]
-        out, factor = softmax(lambda group=group: inner_logits(near, p["v"], vocab.low, group), own[first:last])
-        h = near[first:last] * factor
+        begin, end = group[0][1], group[-1][2]
+
+        def times(out: np.ndarray, to: np.ndarray, group=group, begin=begin) -> None:
+            for c, a, b in group:
+                low, high = vocab.low[c], vocab.low[c + 1]
+                np.matmul(out[a - begin : b - begin, : high - low], members[low:high], out=to[a - begin : b - begin])
+
+        out, factor = softmax(lambda group=group: inner_logits(near, p["v"], vocab.low, group, ROOM), own[begin:end], times, deep[begin:end])
+        h = near[begin:end] * factor
         for c, a, b in group:
             low, high = vocab.low[c], vocab.low[c + 1]
-            some = out[a - first : b - first, : high - low]
-            np.matmul(some, p["v"][low:high], out=deep[a:b])
-            np.matmul(some.T, h[a - first : b - first], out=grads["v"][low:high])
-        deep[first:last] *= factor
-    back[rows] += deep
+            np.matmul(out[a - begin : b - begin, : high - low].T, h[a - begin : b - begin], out=grads["v"][low:high])
+    deep -= members.take(member, axis=0) * share
+    back[first:] += deep
     back *= hid > 0
     back[:, -1] = 0
-    grads["w"], grads["b"] = emb.T @ back, back.sum(axis=0)
-    deep = (back @ p["w"].T).reshape(-1, DIM).T.astype(np.float64)
-    flat = x.ravel()
-    grads["e"] = np.stack([np.bincount(flat, weights=d, minlength=len(p["e"])) for d in deep], axis=1).astype(emb.dtype)
+    grads["w"], grads["b"] = emb.T @ back, np.ones(n, dtype=back.dtype) @ back
+    wide = ROOM("wide", (DIM, 2 * SIDE, n), np.float64)  # by place of an embedding, then of its token
+    wide[:] = np.matmul(p["w"], back.T, out=room("emb", 2 * SIDE * DIM, n)).reshape(2 * SIDE, DIM, n).transpose(1, 0, 2)
+    flat = x.T.ravel()
+    grads["e"] = np.stack([np.bincount(flat, weights=d.ravel(), minlength=len(p["e"])) for d in wide], axis=1).astype(emb.dtype)
     for k, g in grads.items():
-        state[k] += g * g
+        some = np.multiply(g, g, out=room("some", *g.shape))
+        state[k] += some
         g *= RATE
-        g /= np.sqrt(state[k] + 1e-8)
+        g /= np.sqrt(np.add(state[k], 1e-8, out=some), out=some)
         p[k] -= g
     return loss
 
@@ -532,22 +600,23 @@ class Scorer:
 
         for begin in range(0, len(place), SCORED):
             at = place[begin : begin + SCORED]
-            y = ids[at]
-            kind, got = self.vocab.cls[y], out[begin : begin + SCORED]
-            hid = self.tables[0].take(ids[at - SIDE], axis=0)
+            order, first, parts = in_classes(self.vocab.cls.take(ids.take(at)))
+            at = at.take(order)
+            y = ids.take(at)
+            kind, got = self.vocab.cls.take(y), np.empty(len(at), dtype=np.float32)
+            hid, some = (ROOM(name, (len(at), HIDDEN), np.float32) for name in ("hid", "back"))
+            self.tables[0].take(ids.take(at - SIDE), axis=0, out=hid, mode="clip")
             for i, o in enumerate([o for o in range(-SIDE, SIDE + 1) if o][1:], 1):
-                hid += self.tables[i].take(ids[at + o], axis=0)
+                hid += self.tables[i].take(ids.take(at + o), axis=0, out=some, mode="clip")
             np.maximum(hid, 0, out=hid)
             for a in range(0, len(at), POSITIONS):
-                got[a : a + POSITIONS] = log(lambda a=a: hid[a : a + POSITIONS] @ self.p["u"], kind[a : a + POSITIONS])
-            rows, parts = by_class(kind)
-            near, member = hid.take(rows, axis=0), y[rows]
-            more = np.empty(len(rows), dtype=np.float32)
-            own = member - self.vocab.low[kind[rows]]
+                got[a : a + POSITIONS] = log(lambda h=hid[a : a + POSITIONS]: np.matmul(h, self.p["u"], out=ROOM("outer", (len(h), CLASSES), np.float32)), kind[a : a + POSITIONS])
+            near, more = hid[first:], got[first:]
+            own = y[first:] - self.vocab.low.take(kind[first:])
             for group in together(parts):
-                first, last = group[0][1], group[-1][2]
-                more[first:last] = log(lambda group=group: inner_logits(near, self.p["v"], self.vocab.low, group), own[first:last])
-            got[rows] += more
+                a, b = group[0][1], group[-1][2]
+                more[a:b] += log(lambda group=group: inner_logits(near, self.p["v"], self.vocab.low, group, ROOM), own[a:b])
+            out[begin + order] = got
         return np.split(out, np.cumsum(size)[:-1]) if texts else []
 
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestar.llm import lm_score
@@ -226,3 +227,45 @@ def test_classes_share_products_and_codes_are_made_at_once(monkeypatch):
         assert np.allclose(got[a:b, : high - low], near[a:b] @ p["v"][low:high].T, atol=1e-4) and np.isneginf(got[a:b, high - low :]).all()
     tokens = ["", "a", "é", "the", "'", "🙂漢x", "i̇stanbul"]
     assert lm_score.codes_of(tokens).tolist() == [lm_score.code(t) for t in tokens] and not len(lm_score.codes_of([]))
+
+
+def test_runs_are_taken_apart_at_once(monkeypatch):
+    """One call of the pattern for all distinct runs that are not one token by sight; memory is used again."""
+
+    class Counted:
+        calls = 0
+
+        def findall(self, text):
+            Counted.calls += 1
+            return pattern.findall(text)
+
+    pattern = lm_score.MARKED
+    monkeypatch.setattr(lm_score, "MARKED", Counted())
+    for runs in ([], [""], ["abc", "1"], ["", "a,b", "é", "x_y", "..", "a", "b!", "漢字", "don't", "a,b,a"], ["🙂", "ß", "́"]):
+        Counted.calls = 0
+        kinds, inside, begin, length = lm_score.taken_apart(pa.array(runs, pa.large_string()))
+        kinds = kinds.to_pylist()
+        assert Counted.calls == 1 and len(set(kinds)) == len(kinds)
+        assert [[kinds[i] for i in inside[b : b + n]] for b, n in zip(begin.tolist(), length.tolist(), strict=True)] == [lm_score.TOKEN.findall(x) for x in runs]
+    vocab, p, ids = toy()
+    rows, parts = lm_score.by_class(vocab.cls[ids])
+    near, room = np.ones((len(rows), lm_score.HIDDEN), dtype=np.float32), lm_score.Room()
+    a, b = (lm_score.inner_logits(near, p["v"], vocab.low, parts, room) for _ in "ab")
+    assert np.shares_memory(a, b) and (b == lm_score.inner_logits(near, p["v"], vocab.low, parts)).all()
+    assert room("inner", (2, 3), np.float64).dtype == np.float64 and room("inner", (10**6, 2), np.float32).shape == (10**6, 2)
+
+
+def test_rows_of_a_batch_may_come_in_any_order():
+    """Steps sort them by class; the loss and the squared gradients do not change."""
+    vocab, p, ids = toy()
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    at = np.arange(2, 2500)
+    got = []
+    for order in (at, at[::-1], np.random.default_rng(8).permutation(at)):
+        state = {k: np.zeros_like(v) for k, v in p.items()}
+        q = {k: v.copy() for k, v in p.items()}
+        q["u"][:, 70] *= 400  # beyond exponentials, even in double precision
+        got.append((lm_score.step(q, state, lm_score.contexts(ids, order), ids[order], vocab, True), state))
+    for loss, state in got:
+        assert math.isfinite(loss) and math.isclose(loss, got[0][0], rel_tol=1e-9)
+        assert all(np.isfinite(v).all() and np.allclose(v, got[0][1][k], rtol=1e-6, atol=1e-12) for k, v in state.items())
